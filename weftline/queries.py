@@ -1,0 +1,4 @@
+"""The driver's queries over its tables, and the SQL that each must equal."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
