@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.tables import table
 
-from . import chatformat, decontaminate, hilbert, urlrules
+from . import chatformat, decontaminate, hilbert, packing, urlrules
 
 SHARDS = 40
 #: (host, path, verdict)
@@ -58,7 +58,20 @@ def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op3_wu_manber, op5_url_sweep, op6_chat_events)}
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op3_wu_manber, op5_url_sweep, op6_chat_events, op7_lexical_packing)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
