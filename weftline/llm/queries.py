@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 from weftline.plans.tables import table
 
-from . import chatformat, decontaminate, hilbert, packing, urlrules
+from . import bagminhash, chatformat, decontaminate, hilbert, packing, toxicity, urlrules
 
 SHARDS = 40
 #: (host, path, verdict)
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def op1_gated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = hilbert.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
     return sharded.select(
@@ -32,6 +41,10 @@ def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -71,7 +84,7 @@ def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op3_wu_manber, op5_url_sweep, op6_chat_events, op7_lexical_packing)}
+QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_hilbert_shards, op3_wu_manber, op4_bagminhash, op5_url_sweep, op6_chat_events, op7_lexical_packing)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
