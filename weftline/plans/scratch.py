@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,11 +27,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the scratch folder and read it again.
 
     The result depends on files alone: a lost executor costs no earlier stage,
-    and later readers prune columns and push filters down.
+    and later readers prune columns and push filters down. The shuffle files of
+    the plan that made it go as soon as the driver's collector sees that
+    nothing refers to them, which a collection at this point brings about.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
