@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.tables import table
 
-from . import bagminhash, chatformat, decontaminate, hilbert, packing, toxicity, urlrules
+from . import bagminhash, chatformat, decontaminate, hilbert, linededup, packing, toxicity, urlrules
 
 SHARDS = 40
 #: (host, path, verdict)
@@ -84,7 +84,16 @@ def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_hilbert_shards, op3_wu_manber, op4_bagminhash, op5_url_sweep, op6_chat_events, op7_lexical_packing)}
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select(
+        "doc_id", "text", F.col("_weftline_lines").cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("_weftline_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.col("_weftline_gone").alias("removed"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_hilbert_shards, op3_wu_manber, op4_bagminhash, op5_url_sweep, op6_chat_events, op7_lexical_packing, op8_fuzzy_lines)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
