@@ -110,7 +110,7 @@ class WordIds:
                 self.learn(new)
             for j in open_:
                 if not all(map(self.known.__contains__, part[j])):  # others were forgotten meanwhile
-                    self.learn(set(part[j]) - self.known.keys())
+                    self.learn({w for w in part[j] if w not in self.known})
                 found[j] = map(self.known.__getitem__, part[j])
             out += [b"".join(ids) + last for ids in found]
         return out

@@ -333,7 +333,7 @@ class Scorer:
                 part = words[max(0, k - SPAN) : k + (1 << 16)]
                 rows = list(map(self.known.get, part))
                 if None in rows:
-                    new = set(part) - self.known.keys()
+                    new = {w for w, row in zip(part, rows, strict=True) if row is None}
                     if len(self.known) + len(new) > self.most:
                         self.flush(held, of, out)
                         held, of, size = [], [], 0
