@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.tables import table
 
-from . import bagminhash, chatformat, decontaminate, hilbert, linededup, packing, toxicity, urlrules
+from . import bagminhash, chatformat, decontaminate, hilbert, itq, linededup, packing, toxicity, urlrules
 
 SHARDS = 40
 #: (host, path, verdict)
@@ -93,7 +93,11 @@ def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_hilbert_shards, op3_wu_manber, op4_bagminhash, op5_url_sweep, op6_chat_events, op7_lexical_packing, op8_fuzzy_lines)}
+def op10_itq_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_hilbert_shards, op3_wu_manber, op4_bagminhash, op5_url_sweep, op6_chat_events, op7_lexical_packing, op8_fuzzy_lines, op10_itq_vectors)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -124,6 +128,15 @@ r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
 j AS (SELECT p.*, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rh || rp) DESC NULLS LAST) AS k
     FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM j WHERE k = 1""",
+    "op10_itq_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+    AND list_cosine_similarity(x.e, y.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, cast(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op6_chat_events": """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
