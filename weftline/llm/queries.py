@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.tables import table
 
-from . import bagminhash, chatformat, decontaminate, hilbert, itq, linededup, packing, toxicity, urlrules
+from . import bagminhash, chatformat, decontaminate, hilbert, itq, linededup, packing, resample, toxicity, urlrules
 
 SHARDS = 40
 #: (host, path, verdict)
@@ -93,11 +93,15 @@ def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_gumbel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_itq_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_hilbert_shards, op3_wu_manber, op4_bagminhash, op5_url_sweep, op6_chat_events, op7_lexical_packing, op8_fuzzy_lines, op10_itq_vectors)}
+QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_hilbert_shards, op3_wu_manber, op4_bagminhash, op5_url_sweep, op6_chat_events, op7_lexical_packing, op8_fuzzy_lines, op9_gumbel_quality, op10_itq_vectors)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
