@@ -89,9 +89,9 @@ def hierarchy_rollup(spark, sf_dir):
 
 @query("""WITH c AS (SELECT 'l' || p_partkey AS label, 'd' || p_partkey % 3 AS dataset, 'l' || p_partkey // 2 AS target,
     CASE WHEN p_partkey < 20 THEN 'goal' ELSE 'd' || (p_partkey // 2) % 3 END AS td FROM part WHERE p_partkey % 9 <> 0)
-SELECT label, dataset, reached FROM (WITH RECURSIVE w AS (SELECT label, dataset, target AS at, td, 1 AS depth FROM c
-UNION ALL SELECT w.label, w.dataset, c.target, c.td, depth + 1 FROM w JOIN c ON w.at = c.label AND w.td = c.dataset WHERE w.td <> 'goal' AND depth < 20)
-SELECT label, dataset, max(at) FILTER (WHERE td = 'goal') AS reached FROM w GROUP BY 1, 2)""")
+SELECT label, dataset, reached FROM (WITH RECURSIVE w AS (SELECT label, dataset, target AS spot, td, 1 AS depth FROM c
+UNION ALL SELECT w.label, w.dataset, c.target, c.td, depth + 1 FROM w JOIN c ON w.spot = c.label AND w.td = c.dataset WHERE w.td <> 'goal' AND depth < 20)
+SELECT label, dataset, max(spot) FILTER (WHERE td = 'goal') AS reached FROM w GROUP BY 1, 2)""")
 def chain_map(spark, sf_dir):
     k = F.col("p_partkey")
     half = F.expr("p_partkey div 2")
