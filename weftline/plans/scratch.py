@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -23,6 +24,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths written in the temporary() blocks that are open, innermost last.
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the scratch folder and read it again.
 
@@ -36,16 +41,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table from :func:`stored` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folder = scratch_dir(spark)
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for p in parents:
-        if "/weftline/" in p and folder.split(":")[-1].lstrip("/") in p:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.scratch_path)
+    for paths in _open:
+        if df.scratch_path in paths:
+            paths.remove(df.scratch_path)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Delete the tables that the block stores, but for those given to the function it yields."""
+    paths: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.scratch_path)
+        return df
+
+    _open.append(paths)
+    try:
+        yield keep
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            if path not in kept:
+                _delete(spark, path)
+            elif _open:
+                _open[-1].append(path)
