@@ -1,14 +1,15 @@
 """Image headers and coordinates; the header parser is the one Python function here."""
 
-from __future__ import annotations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.operators.manifest import longest_edge, needs_resize
 
-HEADER = "struct<width:int,height:int,status:string>"
+HEADER = T.StructType(
+    [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("status", T.StringType())]
+)
 #: Start-of-frame markers: C0 to CF but for the table and arithmetic segments.
 FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 

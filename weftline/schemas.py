@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
 def _schema(ddl: str) -> T.StructType:
     """A schema in which a type that ends in "!" is required."""
     fields = []
     for part in ddl.split(";"):
         name, kind = part.split()
         required = kind.endswith("!")
-        fields.append(T.StructField(name, T.StructType.fromDDL(f"x {kind.rstrip('!')}").fields[0].dataType, not required))
+        fields.append(T.StructField(name, _TYPES[kind.rstrip("!")], not required))
     return T.StructType(fields)
 
 
