@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from .words import utf8, words_of, worker_cache
 
 SPAN, STRIDE = 64, 48
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 3000, 5000, 20_000
-GRAMS = (3, 4, 5, 6)
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 4000, 20_000
+GRAMS = (3, 5)
 WORDS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 60_000, 1 << 17, 6, 8, 10, 8
-EPOCHS, BATCH, RATE, TABLE_RATE, DROP = 6, 256, 0.01, 0.05, 0.1
-MIN_DOCS, MIN_WORDS = 3, 4
+EPOCHS, BATCH, RATE, TABLE_RATE, DROP = 5, 256, 0.01, 0.05, 0.1
+MIN_DOCS, MIN_WORDS, CALIBRATE = 3, 4, 100
 
 
 def char_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,12 +50,21 @@ def char_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if n in GRAMS:
             at = np.flatnonzero(left[: len(code)] >= n)
             mixed = (code[at] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            rows.append((mixed >> np.uint64(32)).astype(np.int64) % CHAR_ROWS)
+            rows.append(((mixed >> np.uint64(32)) % np.uint64(CHAR_ROWS)).astype(np.int32))
             of.append(word[at])
     rows, of = np.concatenate(rows), np.concatenate(of)
     return rows[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
 
+#: Words whose n-grams are looked up at a time, which bounds the memory for it.
+PART = 20_000
+
+
+def all_char_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [char_rows(words[i : i + PART]) for i in range(0, len(words), PART)]
+    return np.concatenate([r for r, _ in parts]), np.concatenate([n for _, n in parts])
+
+
 def mean_of(table: np.ndarray, rows: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Means of table rows over runs of ``count`` rows each."""
     return np.add.reduceat(table[rows], np.cumsum(count) - count, axis=0) / count[:, None]
@@ -195,7 +204,7 @@ def _windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             at.append(np.pad(r, (0, max(0, SPAN - len(r))))[first[:, None] + np.arange(SPAN)])
             of.append(np.full(len(first), i))
     if not at:
-        return np.zeros((0, SPAN), np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, SPAN), np.int32), np.zeros(0, np.int64)
     return np.concatenate(at), np.concatenate(of)
 
 
@@ -210,20 +219,42 @@ def _logits(net: Network, gates: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> Network:
-    """Fit the network on whole texts that are toxic (1) or not (0)."""
+    """Fit the network on whole texts that are toxic (1) or not (0).
+
+    With ``CALIBRATE`` texts of each label or more, a seventh is kept back to
+    set the bias so that a probability of 0.5 parts them with fewest errors.
+    """
+    pick = lambda last: [i for i in range(len(texts)) if (i % 7 == 6) == last]
+    if min(sum(labels), len(labels) - sum(labels)) < CALIBRATE:
+        return _fit(texts, labels, seed, epochs)
+    net = _fit([texts[i] for i in pick(False)], [labels[i] for i in pick(False)], seed, epochs)
+    kept = pick(True)
+    p = np.clip(Scorer(net).score([texts[i] for i in kept]), 1e-12, 1 - 1e-12)
+    logit, y = np.log(p / (1 - p)), np.array([labels[i] for i in kept])
+    order = np.argsort(logit)
+    logit, y = logit[order], y[order]
+    cuts = (logit[1:] + logit[:-1]) / 2
+    errors = np.cumsum(y)[:-1] + (y == 0).sum() - np.cumsum(y == 0)[:-1]
+    best = cuts[errors == errors.min()]
+    net.p["ob"] -= np.float32((best[0] + best[-1]) / 2)
+    return net
+
+
+def _fit(texts: list[bytes], labels: list[int], seed: int, epochs: int) -> Network:
     rng = np.random.default_rng(seed)
     net = Network(seed)
     y = np.array(labels, dtype=np.float32)
     split = [words_of(t) for t in texts]
     vocab = {w: i + 1 for i, w in enumerate(sorted({w for s in split for w in s}))}
-    rows = [np.fromiter((vocab[w] for w in s), np.int64, len(s)) for s in split]
+    rows = [np.fromiter((vocab[w] for w in s), np.int32, len(s)) for s in split]
+    del split
     at, of = _windows(rows)
     if not len(at) or y.min() == y.max():  # nothing to learn from: every text gets the only label
         net.p["ow"][:] = 0
         net.p["ob"][:] = 4.0 if len(y) and y.min() == 1 else -4.0
         return net
     words = list(vocab)
-    cr, count = char_rows(words)
+    cr, count = all_char_rows(words)
     begin = np.cumsum(count) - count
     live = _log_odds(net, rows, y, words, cr, count, rng)
     wr = net.word_rows(words)
@@ -231,13 +262,18 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EP
     tables = {k: np.full(len(net.p[k]), 1e-3, np.float32) for k in ("words", "chars")}
     t = 0
     for epoch in range(epochs):
-        x = net.vectors(wr, cr, count)
+        gates = np.zeros((len(words) + 1, 6 * HIDDEN), np.float32)
+        odds = np.zeros(len(words) + 1, np.float32)
+        for i in range(0, len(words), PART):
+            j = min(i + PART, len(words))
+            x = net.vectors(wr[i:j], cr[begin[i] : begin[j - 1] + count[j - 1]], count[i:j])
+            gates[i + 1 : j + 1] = net.gates(x)
+            odds[i + 1 : j + 1] = x[:, 0] + x[:, WORD_DIM]
         if epoch:
-            gates = np.vstack([np.zeros((1, 6 * HIDDEN), np.float32), net.gates(x)])
             found = _logits(net, gates, at)
         else:  # first by the odds alone
-            odds = np.append(0, x[:, 0] + x[:, WORD_DIM])
-            found = np.sort(odds[at], axis=1)[:, -3:].sum(axis=1)
+            found = np.concatenate([np.sort(odds[at[i : i + 4096]], axis=1)[:, -3:].sum(axis=1) for i in range(0, len(at), 4096)])
+        del gates
         order = np.lexsort((-found, of))
         top = order[np.append(True, of[order][1:] != of[order][:-1])]
         wrong = np.flatnonzero((y[of] == 0) & (found > -1)) if epoch else top[:0]
@@ -316,8 +352,8 @@ class Scorer:
         first = len(self.known) + 1
         while first + len(words) > len(self.gates):
             self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for i in range(0, len(words), PART):
+            part = words[i : i + PART]
             self.gates[first + i : first + i + len(part)] = self.net.gates(self.net.inputs(part))
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
 
@@ -341,7 +377,7 @@ class Scorer:
                         new = set(part)
                     self.learn(new)
                     rows = list(map(self.known.__getitem__, part))
-                held.append(np.array(rows, dtype=np.int64))
+                held.append(np.array(rows, dtype=np.int32))
                 of.append(i)
                 size += len(rows)
                 if size >= 1 << 17:
