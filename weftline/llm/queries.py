@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.tables import table
@@ -57,8 +57,10 @@ def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             [(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"
         )
     )
-    # each row is a whole message; rows of one turn are messages of their own
-    rendered = chatformat.render(rows.withColumnRenamed("turn", "seq"))
+    # the log: each row is a message event of its own, also where rows share a turn
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    log = rows.withColumn("seq", place).select("conv_id", "seq", F.col("seq").alias("message"), F.lit("message").alias("kind"), "role", "text")
+    rendered = chatformat.render(chatformat.fold_events(log))
     back = chatformat.read_back(rendered)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
