@@ -38,7 +38,7 @@ class WordIds:
     follows, and mark the last id of a run ("</w>").
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -104,15 +104,19 @@ class WordIds:
         for i in range(0, len(split), 128):
             part = split[i : i + 128]
             found = [list(map(self.known.get, s)) for s in part]
-            open_ = [j for j, ids in enumerate(found) if None in ids]
-            new = {w for j in open_ for w, ids in zip(part[j], found[j], strict=True) if ids is None}
-            if new:
-                self.learn(new)
-            for j in open_:
-                if not all(map(self.known.__contains__, part[j])):  # others were forgotten meanwhile
-                    self.learn({w for w in part[j] if w not in self.known})
-                found[j] = map(self.known.__getitem__, part[j])
-            out += [b"".join(ids) + last for ids in found]
+            gaps: dict[int, list[int]] = {}
+            for j, ids in enumerate(found):
+                try:
+                    found[j] = b"".join(ids)
+                except TypeError:  # a word is not known
+                    gaps[j] = [k for k, x in enumerate(ids) if x is None]
+            if gaps:
+                self.learn({part[j][k] for j, at in gaps.items() for k in at})
+                for j, at in gaps.items():
+                    for k in at:
+                        found[j][k] = self.known[part[j][k]]
+                    found[j] = b"".join(found[j])
+            out += [ids + last for ids in found]
         return out
 
 
