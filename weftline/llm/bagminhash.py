@@ -13,7 +13,9 @@ distinct shingles plus K log K.
 
 120 slots in 24 bands of 5 miss a pair of similarity 0.8 once in 13,000. Texts
 are collapsed to distinct ones first; candidates of a band are verified by the
-exact overlap of their bags (sum of minima over sum of maxima).
+exact overlap of their bags (sum of minima over sum of maxima). Of the pairs
+that the first comparisons leave open, those go unverified that cannot reach
+the similarity because too many shingles of one are in no other open text.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.scratch import stored
+from weftline.plans.scratch import stored, temporary
 
-from .graph import link_buckets
+from .graph import link_buckets, only
 from .words import utf8, words_of, worker_cache
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
@@ -174,8 +176,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     near = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")
     pairs = stored(pairs.where(near).select("a", "b"), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(needed, "key", "left_semi")
-    texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
+    texts = stored(_texts_of(docs, needed), "texts")
     for c in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("key").alias(c), F.col("text").alias(f"{c}_text")), c)
 
@@ -196,20 +197,64 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """key and text of the given text keys, each once."""
+    found = only(docs.select(text_key(F.col("text")).alias("key"), "text"), ids, "key")
+    return found.groupBy("key").agg(F.first("text").alias("text"))
+
+
+def _odd_shares(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Per text key (id): size, common (shingles that some other of these texts has) and oddness.
+
+    No text shares more than its common shingles with another of them, which
+    bounds the similarity of two texts from above.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            bags = [np.unique(shingles(t), return_counts=True) for t in utf8(batch.column("text"))]
+            columns = [
+                batch.column("key"), pa.array([int(c.sum()) for _, c in bags], pa.int64()),
+                pa.array([h.astype(np.int64) for h, _ in bags], pa.list_(pa.int64())), pa.array([c for _, c in bags], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "shingles", "counts"])
+
+    texts = _texts_of(docs, ids.withColumnRenamed("id", "key"))
+    bags = stored(texts.mapInArrow(run, "id binary, size bigint, shingles array<bigint>, counts array<bigint>"), "bags")
+    rows = bags.select(F.xxhash64("id").alias("who"), F.inline(F.arrays_zip("shingles", "counts")))
+    alone = rows.groupBy("shingles").agg(F.count(F.lit(1)).alias("n"), F.max("who").alias("who"), F.max("counts").alias("c")).where("n = 1")
+    odd = alone.groupBy("who").agg(F.sum("c").alias("odd"))
+    out = bags.select("id", "size", F.xxhash64("id").alias("who")).join(odd, "who", "left")
+    common = F.col("size") - F.coalesce("odd", F.lit(0))
+    return out.select("id", (1 - common / F.col("size")).alias("oddness"), "size", common.alias("common"))
+
+
+def _bounded(similarity: float) -> Column:
+    most = F.least("a_common", "b_common")
+    return most >= (similarity - 1e-9) * (F.col("a_size") + F.col("b_size") - most)
+
+
 def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
     """doc_id, key (of the text) and component_id of every row."""
-    signed = stored(_signed(docs), "signed")
-    worded = signed.where("size > 0")
-    classes = stored(
-        worded.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), F.first("bands").alias("bands")),
-        "classes",
-    )
-    buckets = classes.select(F.col("key").alias("id"), F.explode("bands").alias("bucket")).select("bucket", "id")
-    found = link_buckets(buckets, lambda pairs: _verified(pairs, classes, docs, similarity))
-    named = classes.select("key", "first_doc").join(found.withColumnRenamed("id", "key"), "key", "left")
-    named = named.select("key", "first_doc", F.coalesce("component", "key").alias("component"))
-    names = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    names = stored(named.join(names, "component").select("key", "component_id"), "components")
+    with temporary(docs.sparkSession) as keep:
+        signed = keep(stored(_signed(docs), "signed"))
+        worded = signed.where("size > 0")
+        classes = stored(
+            worded.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), F.first("bands").alias("bands")),
+            "classes",
+        )
+        buckets = classes.select(F.col("key").alias("id"), F.explode("bands").alias("bucket")).select("bucket", "id")
+        found = link_buckets(
+            buckets,
+            lambda pairs: _verified(pairs, classes, docs, similarity),
+            lambda: _bounded(similarity),
+            lambda ids: _odd_shares(docs, ids),
+        )
+        named = classes.select("key", "first_doc").join(found.withColumnRenamed("id", "key"), "key", "left")
+        named = named.select("key", "first_doc", F.coalesce("component", "key").alias("component"))
+        names = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+        names = keep(stored(named.join(names, "component").select("key", "component_id"), "components"))
     linked = worded.select("doc_id", "key").join(names, "key").select("doc_id", "key", "component_id")
     return linked.unionByName(signed.where("size = 0").select("doc_id", "key", F.col("doc_id").alias("component_id")))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.scratch import drop_stored, stored
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
             new = stored(tree.join(above, "up").select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "tree")
             moved = new.where("moved").limit(1).count()
             drop_stored(tree)
-            tree = new.select("id", "up")
+            tree = new
             if not moved:
                 break
         at = lambda c: tree.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up"))
@@ -50,39 +50,104 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select(F.col("id").cast(kind), F.col("component").cast(kind))
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of the verified links among ids that share a bucket.
+#: Values of the hash that :func:`maybe` sends to every executor, at most.
+SLOTS = 1 << 20
 
-    ``buckets`` has bucket and id; ``verify`` turns candidate pairs (a, b)
-    into the pairs that are links. First each id is held against the least id
-    of its buckets, so a group of near copies costs a pair per member, not a
-    pair per pair. Pairs inside one component cannot change it; every other
-    pair that shares a bucket is verified afterwards, so no link between
-    components is lost.
+
+def maybe(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among the ``ids`` (column ``key``), dropped where they lie.
+
+    Keeps all rows whose key is, and few others while there are far fewer ids
+    than ``SLOTS``. It broadcasts ``SLOTS`` small numbers at most, whatever the
+    number of ids.
     """
-    sizes = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(buckets.join(sizes.select("bucket", "leader"), "bucket").distinct(), "buckets")
-    star = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    star = stored(star, "star")
-    found = components(verify(star))
-    label = found.select("id", "component")
-    labelled = shared.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    labelled = stored(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-    x = labelled.select("bucket", F.col("id").alias("a"), F.col("component").alias("a_in"))
-    y = labelled.select("bucket", F.col("id").alias("b"), F.col("component").alias("b_in"))
-    cross = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")))
-    cross = cross.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    cross = stored(cross, "cross")
-    if not cross.limit(1).count():
-        return found
-    more = stored(verify(cross), "links")
-    ends = more
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    some = ids.select(slot.alias("_slot")).distinct()
+    return rows.withColumn("_slot", slot).join(F.broadcast(some), "_slot", "left_semi").drop("_slot")
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the distinct ``ids``: a semi-join that shuffles few others."""
+    return maybe(rows, ids, key).join(ids.select(key), key, "left_semi")
+
+
+def _relabelled(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links (a, b) between ids, some of which ``found`` may not hold yet."""
+    ends = links
     for c in ("a", "b"):
-        names = label.select(F.col("id").alias(c), F.col("component").alias("up"))
+        names = found.select(F.col("id").alias(c), F.col("component").alias("up"))
         ends = ends.join(names, c, "left").withColumn(c, F.coalesce("up", c)).drop("up")
     joined = components(ends.select("a", "b")).select(F.col("id").alias("component"), F.col("component").alias("up"))
-    ids = found.select("id", "component").unionByName(
-        more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
-    )
-    return ids.join(joined, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+    new = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(found, "id", "left_anti")
+    ids = found.select("id", "component").unionByName(new.select("id", F.col("id").alias("component")))
+    return stored(ids.join(joined, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "relabelled")
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def link_buckets(
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    possible: Callable[[], Column],
+    traits: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Components of the verified links among ids that share a bucket.
+
+    ``buckets`` has bucket and id; ``verify`` turns candidate pairs (a, b)
+    into the pairs that are links. First each id is held against the leader of
+    its buckets, the id that shares most buckets with others, so a group of
+    near copies costs a pair per member, not a pair per pair. Pairs inside one
+    component cannot change it; every other pair that shares a bucket is looked
+    at afterwards, in buckets that more than one component shares.
+
+    ``possible`` is a condition on further columns of both ids (a_ and b_
+    before the names) that every link meets and few other pairs do, so that few
+    pairs leave the joins. The columns are those of ``buckets``, or else
+    ``traits`` gives them for a table of ids once the leaders are done, among
+    them ``oddness``; the least odd id of each bucket then leads once more.
+    """
+    sizes = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    shared = stored(maybe(buckets, sizes, "bucket").join(sizes, "bucket"), "buckets")
+    carried = [c for c in buckets.columns if c not in ("bucket", "id")]
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+
+    def led(rows: DataFrame, by: Column, columns: list[str]) -> DataFrame:
+        top = rows.groupBy("bucket").agg(F.max(F.struct(by.alias("by"), "id", *columns)).alias("top"))
+        return top.select("bucket", *[F.col("top")[c].alias(f"a_{c}") for c in ("id", *columns)])
+
+    def members(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("id", *columns)])
+
+    star = led(shared.join(degree, "id"), F.col("degree"), carried).join(members(shared, carried), "bucket")
+    star = star.where((F.col("a_id") != F.col("b_id")) & (possible() if carried else F.lit(True)))
+    tested = stored(star.select(*_pair("a_id", "b_id")).distinct(), "star")
+    found = components(verify(tested))
+    known = None
+    for last in (True,) if traits is None else (False, True):
+        rows = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        rows = stored(rows.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
+        if not rows.limit(1).count():
+            return found
+        if traits is not None:
+            if known is None:
+                known = stored(traits(rows.select("id").distinct()), "traits")
+            rows = rows.join(known, "id")
+        columns = [c for c in rows.columns if c not in ("bucket", "id", "n")]
+        others = members(rows, columns).withColumnRenamed("bucket", "bucket_")
+        if last:
+            ahead = rows.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", *columns)])
+            once = F.col("a_id") < F.col("b_id")
+        else:
+            ahead, once = led(rows, -F.col("oddness"), columns), F.lit(True)
+        on = (F.col("bucket") == F.col("bucket_")) & (F.col("a_component") != F.col("b_component")) & once & possible()
+        pairs = ahead.join(others, on).select(*_pair("a_id", "b_id")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "cross")
+        if pairs.limit(1).count():
+            links = stored(verify(pairs), "links")
+            tested = tested.unionByName(pairs)
+            if links.limit(1).count():
+                found = _relabelled(found, links)
+    return found
