@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.scratch import stored
+from weftline.plans.scratch import stored, temporary
 
 from .graph import components
 
@@ -152,24 +152,25 @@ def similar_vectors(vectors: DataFrame, least: float = COSINE, radius: int = RAD
     good = usable(F.col("v")) & F.col("label").isNotNull()
     within = F.xxhash64(F.col("label").cast("string"), F.size("v"))
     key = F.unhex(F.md5(F.concat_ws(";", F.col("label").cast("string"), F.array_join("v", ","))))
-    rows = stored(rows.select("vec_id", F.when(good, key).alias("key"), F.when(good, within).alias("within"), F.when(good, F.col("v")).alias("v")), "vectors")
-    classes = rows.where("key is not null").groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.first("within").alias("within"), F.first("v").alias("v")
-    )
-    classes = stored(classes, "vector-classes")
-    width = classes.agg(F.max(F.size("v"))).first()[0]
-    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if width:
-        codes = stored(_coded(classes, width), "codes")
-        pairs = stored(_candidates(codes, radius), "code-pairs")
-        links = stored(_linked(pairs, classes, width, least), "vector-links")
-        sizes = classes.select("key", "n")
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        others = both.join(sizes.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
-        named = classes.select("key", "n", "first_id").join(others, "key", "left").join(components(links).withColumnRenamed("id", "key"), "key", "left")
-        named = named.withColumn("component", F.coalesce("component", "key"))
-        ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = named.join(ids, "component").select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-        told = rows.where("key is not null").select("vec_id", "key").join(stored(named, "vector-groups"), "key")
-        alone = told.select("vec_id", "n_links", "component_id").unionByName(alone)
+    with temporary(vectors.sparkSession) as keep:
+        rows = keep(stored(rows.select("vec_id", F.when(good, key).alias("key"), F.when(good, within).alias("within"), F.when(good, F.col("v")).alias("v")), "vectors"))
+        classes = rows.where("key is not null").groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.first("within").alias("within"), F.first("v").alias("v")
+        )
+        classes = stored(classes, "vector-classes")
+        width = classes.agg(F.max(F.size("v"))).first()[0]
+        alone = rows.where("key is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+        if width:
+            codes = stored(_coded(classes, width), "codes")
+            pairs = stored(_candidates(codes, radius), "code-pairs")
+            links = stored(_linked(pairs, classes, width, least), "vector-links")
+            sizes = classes.select("key", "n")
+            both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            others = both.join(sizes.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
+            named = classes.select("key", "n", "first_id").join(others, "key", "left").join(components(links).withColumnRenamed("id", "key"), "key", "left")
+            named = named.withColumn("component", F.coalesce("component", "key"))
+            ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+            named = named.join(ids, "component").select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+            told = rows.where("key is not null").select("vec_id", "key").join(keep(stored(named, "vector-groups")), "key")
+            alone = told.select("vec_id", "n_links", "component_id").unionByName(alone)
     return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
