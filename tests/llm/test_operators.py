@@ -1,0 +1,516 @@
+"""The Spark operators against brute force, with nulls, repeats, empty tables and clashing columns."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("weftline.llm")
+from weftline.llm import (  # noqa: E402
+    bagminhash, chatformat, decontaminate, graph, hilbert, itq, linededup, packing, queries, resample, toxicity, urlrules,
+)
+from weftline.llm.words import words_of  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, `key` string, label int"
+
+
+def docs_of(spark, rows):
+    """Documents with extra columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "en", "s", None, 1.0, "k", 3) for i, t in rows], DOCS)
+
+
+def sample(seed, n=60):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choice(vocab) for _ in range(rng.randint(8, 60))) for _ in range(n)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for k in range(n):
+        words = rng.choice(base).split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        rows.append((1000 + k, " ".join(words)))
+    return rows + [(5000, None), (5001, ""), (5002, "..."), (None, base[0]), (7, base[7]), (6000, "one two"), (6001, "One, two!")]
+
+
+# components
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(1)
+    for n, m in ((40, 25), (200, 260), (2, 1)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(n * 2, n * 2 + 30)]
+        up: dict = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+        got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_buckets_lose_no_link_beside_the_leader(spark):
+    """1 leads the bucket and is like nobody; 2, 3 and 4 form a chain; 5 stands alone."""
+    buckets = spark.createDataFrame([(0, i) for i in (1, 2, 3, 4, 5)] + [(1, 4), (1, 9)], "bucket long, id long")
+    like = {(2, 3), (3, 4), (4, 9)}
+    seen = []
+
+    def verify(pairs):
+        rows = [tuple(r) for r in pairs.select("a", "b").collect()]
+        seen.extend(rows)
+        return pairs.sparkSession.createDataFrame([r for r in rows if r in like], "a long, b long")
+
+    traits = lambda ids: ids.withColumn("oddness", F.col("id"))
+    got = {r.id: r.component for r in graph.link_buckets(buckets, verify, lambda: F.lit(True), traits).collect()}
+    assert got == {2: 2, 3: 2, 4: 2, 9: 2}
+    assert len(seen) >= 8
+
+
+# 1
+
+
+def test_toxicity_scores_and_stage(spark):
+    rows = [(i, ("you stupid clown " if i % 3 == 0 else "have a fine day ") + f"word{i % 13} other") for i in range(150)]
+    docs = docs_of(spark, rows + [(900, None), (901, ""), (None, "you stupid clown"), (902, "fine " * 30_000)])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    net = toxicity.fit(docs, labels)
+    out = toxicity.score_toxicity(docs, net).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
+    held = [r for r in out if r.doc_id is not None and r.doc_id < 150 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert held and all((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in held)
+    by = {r.doc_id: r.score for r in out}
+    assert by[900] == by[901] == 0 and by[None] >= 0.5 and by[902] < 0.5
+    left = toxicity.drop_toxic(docs, net)
+    assert left.columns == docs.columns and left.count() == 103
+    assert toxicity.score_toxicity(docs.limit(0), net).count() == 0
+    empty = toxicity.fit(docs, labels.limit(0))
+    assert max(r.score for r in toxicity.score_toxicity(docs, empty).collect()) < 0.5
+
+
+def test_held_out_is_crc_of_the_text_form(spark):
+    got = spark.range(-5, 200).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+# 2
+
+
+def test_curve_visits_neighbours():
+    for n, bits in ((2, 3), (3, 2)):
+        side = 1 << bits
+        cells = [[c >> bits * (n - 1 - i) & side - 1 for i in range(n)] for c in range(side**n)]
+        order = sorted(cells, key=lambda p: hilbert.curve_index(p, bits))
+        assert sorted(hilbert.curve_index(p, bits) for p in cells) == list(range(side**n))
+        assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for p, q in zip(order, order[1:]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 39, 40, 41, 333])
+def test_shards_are_even_runs_of_the_curve(spark, n):
+    rows = [(i if i % 9 else None, "x" * (i % 50) if i % 7 else None, None if i % 5 == 0 else f"l{i % 4}", f"s{i % 11}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = hilbert.shard_rows(docs, 40).collect()
+    assert len(out) == n
+    size = [0] * 40
+    for r in out:
+        size[r.shard] += 1
+    assert max(size) - min(size) <= 1
+    for s in range(40):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(size[s]))
+    seen = sorted(out, key=lambda r: (r.shard, r.slot))
+    assert all(a.curve <= b.curve for a, b in zip(seen, seen[1:]))
+    text = {r[0]: r[1] for r in rows if r[0] is not None}
+    assert all(r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) and r["size"] == len(text[r.doc_id] or "") + 16 for r in out if r.doc_id is not None)
+
+
+def test_shards_split_one_hot_cell(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    out = hilbert.shard_rows(docs, 40)
+    assert {tuple(r) for r in hilbert.manifest(out).select("rows").collect()} == {(125,)}
+
+
+# 3
+
+
+def brute_hits(words, items):
+    hit, found = set(), set()
+    for item, text in items:
+        w = words_of(text.encode()) if text else []
+        m = min(13, len(w))
+        for k in range(len(w) - m + 1) if m else ():
+            for f in range(len(words) - m + 1):
+                if words[f : f + m] == w[k : k + m]:
+                    hit |= set(range(f, f + m))
+                    if item is not None:
+                        found.add(str(item))
+    return len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 300])
+def test_decontamination_matches_brute_force(spark, block_bytes):
+    rng = random.Random(3)
+    vocab = ["a", "b", "é", "7"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 20)))) for i in range(12)] + [(50, None), (51, ""), (None, "b b b b"), (3, "a a a")]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(100, None), (101, "!!"), (102, "x y " * 3000 + items[2][1])]
+    docs = docs_of(spark, rows + [rows[0]])
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    out = decontaminate.find_benchmark(docs, bench, block_bytes).collect()
+    assert len(out) == len(rows) + 1
+    text = dict(rows)
+    for r in out:
+        words = words_of((text[r.doc_id] or "").encode())
+        assert (r.n_words, (r.n_hit, r["items"])) == (len(words), brute_hits(words, items))
+        assert sum(s.last - s.first for s in r.spans) == r.n_hit
+    left = decontaminate.drop_contaminated(docs, bench, block_bytes)
+    bad = {r.doc_id for r in out if r.n_hit and 20 * r.n_hit >= r.n_words}
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(text) - bad
+    assert decontaminate.find_benchmark(docs.limit(0), bench, block_bytes).count() == 0
+    assert {r.n_hit for r in decontaminate.find_benchmark(docs, bench.limit(0)).collect()} == {0}
+
+
+# 4
+
+
+def brute_components(rows, linked):
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if linked(i, j):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return [find(i) for i in range(len(rows))]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rows = sample(4)
+    bags = [np.unique(bagminhash.shingles(t.encode() if t else None), return_counts=True) for _, t in rows]
+    group = brute_components(rows, lambda i, j: len(bags[i][0]) and len(bags[j][0]) and bagminhash.overlap(bags[i], bags[j]) >= 0.8)
+    least: dict = {}
+    for (d, _), g in zip(rows, group):
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+    want = sorted((d if d is not None else -1, least.get(g, -1)) for (d, _), g in zip(rows, group))
+    docs = docs_of(spark, rows)
+    out = bagminhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1) for r in out) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+    left = bagminhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in out if r.kept)
+    assert bagminhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+# 5
+
+
+def test_urls_match_brute_force(spark):
+    rng = random.Random(5)
+    hosts = ["net", "a.net", "example.net", "x.example.net", "notexample.net", "Example.NET", "org", "a-b.org", "com", "example.com", "net.org", "", "a..net"]
+    paths = ["", "/", "/en", "/en/", "/en/x", "/de/1", "/fr/", "/fr/x?q=/en/", "?a", "#b", "/EN/"]
+    urls = [rng.choice(["http://", "HTTPS://", "", "x://y://"]) + rng.choice(hosts) + rng.choice(paths) for _ in range(400)] + [None, "://"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(None, "http://a.net/"), (0, urls[0])], "page_id long, url string").withColumn("verdict", F.lit(1))
+    many = [*queries.URL_RULES, ("example.net", "/", "block"), ("net", "/en/x", "allow"), ("", "/", "block"), ("org", "/fr/", "block"), ("a..net", "/", "allow")]
+    for rules in (queries.URL_RULES, many, []):
+        df = spark.createDataFrame([*rules, ("org", None, "block")], "host string, path string, verdict string")
+        out = urlrules.judge_urls(pages, df, partitions=3).collect()
+        assert len(out) == len(urls) + 2
+        for r in out:
+            url = urls[r.page_id] if r.page_id is not None else "http://a.net/"
+            rest = (url or "").partition("://")[2]
+            host = rest
+            for c in "/?#":
+                host = host.partition(c)[0]
+            path = rest[len(host) :].partition("?")[0].partition("#")[0]
+            host = host.lower()
+            fits = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            best = max(fits, default=None)
+            assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best[3], best[4] if best else "allow"), url
+    assert urlrules.judge_urls(pages.limit(0), df).count() == 0
+
+
+# 6
+
+
+def test_events_fold_to_final_messages(spark):
+    e = [
+        (1, 0, "m0", "message", "user", "hi"), (1, 1, "m1", "message", "assistant", ""), (1, 2, "m1", "delta", None, "he"), (1, 3, "m1", "delta", None, "llo"),
+        (1, 4, "m1", "regenerate", None, None), (1, 5, "m1", "delta", None, "good "), (1, 6, "m1", "delta", None, "day"), (1, 7, "m0", "edit", None, "hello?"),
+        (1, 8, "m2", "message", "user", "bye"), (1, 9, "m2", "delete", None, None), (2, 0, "m0", None, None, None), (None, 0, None, "odd", "user", "x"),
+    ]
+    random.Random(1).shuffle(e)
+    out = chatformat.fold_events(spark.createDataFrame(e, "conv_id long, seq long, message string, kind string, role string, text string"))
+    got = sorted(((r.conv_id or 0), r.seq, r.role, r.text) for r in out.collect())
+    assert got == [(0, 0, "user", "x"), (1, 0, "user", "hello?"), (1, 1, "assistant", "good day"), (2, 0, "", "")]
+
+
+def test_formatting_reads_back_exactly(spark):
+    rng = random.Random(6)
+    parts = ["<|im_start|>", "<|im_end|>\n", "</s>", "[INST]", "&amp;", "&lt;", "&", "<", "[", "\n", "é", "ok ", "&NewLine;", "&lsqb;", "\U0001f600", "\\"]
+    msgs = [(c, t, rng.choice(["user", "assistant", "sy<stem\n", None]), None if rng.random() < 0.1 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for c in range(30) for t in range(rng.randint(1, 5))]
+    df = spark.createDataFrame(msgs, "conv_id long, seq long, role string, text string").withColumn("turn", F.lit(1))
+    rendered = chatformat.render(df)
+    assert not any(x in r.formatted.replace("<|im_start|>", "").replace("<|im_end|>", "") for r in rendered.collect() for x in ("<", "["))
+    for r in chatformat.read_back(rendered).collect():
+        mine = [(role or "", text or "") for c, _, role, text in msgs if c == r.conv_id]
+        assert [(t.role, t.text) for t in r.turns] == mine
+        assert r.loss_text == "".join(t for role, t in mine if role == "assistant")
+    assert chatformat.read_back(chatformat.render(df.limit(0))).count() == 0
+
+
+# 7
+
+
+def test_packing_places_every_id(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    rows = [*sample(7), (8000, "long words " * 5000)]
+    docs = docs_of(spark, rows).repartition(3)
+    out = packing.pack_documents(docs, path, window=128, shard_tokens=2000).collect()
+    pieces: dict = {}
+    sequences: dict = {}
+    for r in out:
+        pieces.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length, bytes(r.ids)))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    want: dict = {}
+    for d, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        want.setdefault((d, len(ids)), []).append(np.array(ids, "<u4").tobytes())
+    assert set(want) == set(pieces)
+    for k, texts in want.items():
+        assert sorted(n for _, n, _ in pieces[k]) and sum(n for _, n, _ in pieces[k]) == k[1] * len(texts)
+        if len(texts) == 1:
+            assert b"".join(x for _, _, x in sorted(pieces[k])) == texts[0]
+    for s in sequences.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and sum(n for _, n in s) <= 128
+    assert sum(sum(n for _, n in s) < 128 for s in sequences.values()) <= 3
+    assert packing.pack_documents(docs.limit(0), path).count() == 0
+
+
+# 8
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_match_brute_force(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    line = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    pool = [line(rng.randint(1, 60)) for _ in range(25)]
+
+    def vary():
+        w = rng.choice(pool).split()
+        if rng.random() < 0.6:
+            w[rng.randrange(len(w))] += rng.choice("xy")
+        return ("  " if rng.random() < 0.2 else "") + rng.choice([" ", "  "]).join(w).title()
+
+    rows = [(i, "\n".join(rng.choice([vary(), vary(), vary(), line(9), ""]) for _ in range(rng.randint(0, 6)))) for i in range(40)]
+    rows += [(900, None), (None, pool[0] + "\n" + pool[0]), (901, "\n\n"), (902, pool[1] + "\t" + "z")]
+    docs = docs_of(spark, rows)
+    hashed = linededup.simhashes(linededup._lines(docs)).join(linededup._lines(docs).select("id", "norm").distinct(), "id").collect()
+    norm = {r.norm: r.simhash for r in hashed}
+    assert set(norm) == {" ".join(x.lower().split()) for _, t in rows for x in (t or "").split("\n") if x.strip()}
+    texts = sorted(norm)
+
+    def linked(i, j):
+        a, b = texts[i], texts[j]
+        return bin(norm[a] ^ norm[b]).count("1") <= 3 and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+
+    group = dict(zip(texts, brute_components(texts, linked)))
+    assert len(set(group.values())) < len(texts)  # some lines are fuzzy copies
+    first: dict = {}
+    key = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    for d, t in rows:
+        for i, x in enumerate((t or "").split("\n")):
+            if x.strip():
+                g = group[" ".join(x.lower().split())]
+                place = (d is None, d or 0, key[d], i)
+                first[g] = min(place, first.get(g, place))
+    out = linededup.drop_repeated_lines(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for i, x in enumerate(lines) if not x.strip() or first[group[" ".join(x.lower().split())]] == (d is None, d or 0, key[d], i)]
+        assert got[d].text == (None if t is None else "\n".join(stay)), d
+    assert linededup.drop_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_blocks_keep_a_pair_within_the_distance(spark):
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(200):
+        a = rng.getrandbits(63)
+        b = a
+        for bit in rng.sample(range(63), 3):
+            b ^= 1 << bit
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for blocks in (5, 6, 7):
+        met = F.size(F.array_intersect(linededup.block_keys(F.col("a"), blocks), linededup.block_keys(F.col("b"), blocks))) > 0
+        assert df.where(met).count() == 200
+    assert [linededup.blocks_for(n) for n in (0, 10**6, 10**8, 10**10)] == [5, 5, 6, 7]
+
+
+def test_long_lines_and_words(spark):
+    docs = docs_of(spark, [(1, "word " * 60_000), (2, "word " * 60_000 + "\nnew"), (3, "x" * 200_000)])
+    got = {r.doc_id: r.text for r in linededup.drop_repeated_lines(docs).collect()}
+    assert got[2] == "new" and len(got[3]) == 200_000
+
+
+# 9
+
+
+def test_resampling_matches_brute_force(spark):
+    rows = [(i, ("plain words here " if i % 4 else "BUY!! NOW!! $$$ ") * (i % 5 + 1)) for i in range(200)] + [(300, None), (301, "")]
+    docs = docs_of(spark, [*rows, rows[3]])
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 200, 2)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    out = resample.resample(docs, labels, share=0.7).collect()
+    raw, target = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
+    for d, t in [*rows, rows[3]]:
+        c = np.bincount(resample.buckets_of(t.encode() if t else None), minlength=resample.BUCKETS)
+        raw += c
+        if d < 200 and d % 2 == 0 and d % 4:
+            target += c
+    ratio = resample.log_ratios(target, raw)
+    text = dict(rows)
+    assert all(abs(r.log_weight - ratio[resample.buckets_of((text[r.doc_id] or "").encode())].sum()) < 1e-9 for r in out)
+    keys = sorted((r.gumbel_key for r in out), reverse=True)
+    k = round(0.7 * len(out))
+    assert {r.selected for r in out if r.gumbel_key >= keys[k - 1]} == {True} and sum(r.selected for r in out) in (k, k + 1)
+    assert all(r.selected for r in resample.resample(docs, labels.limit(0)).collect())
+    assert resample.resample(docs.limit(0), labels).count() == 0
+
+
+def test_kth_largest(spark):
+    for values in ([1.0] * 50, [float(i % 7) for i in range(100)], [10.0**i for i in range(-9, 9)], [0.0], list(np.random.default_rng(1).normal(size=5000))):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        ordered = sorted(map(float, values), reverse=True)
+        for k in {1, len(values) // 2 or 1, len(values)}:
+            assert resample.kth_largest(df, "v", k) == ordered[k - 1]
+        assert resample.kth_largest(df, "v", len(values) + 1) is None and resample.kth_largest(df, "v", 0) is None
+
+
+# 10
+
+
+def test_vectors_match_brute_force(spark):
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(40, 64))
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(base)]
+    for k in range(160):
+        i = int(rng.integers(40))
+        rows.append((100 + k, (base[i] * rng.uniform(0.1, 5) + 0.15 * rng.normal(size=64)).tolist(), i % 3))
+    rows += [(500, rows[0][1], 0), (501, rows[0][1], 1), (502, rows[0][1], None), (503, None, 0), (504, [0.0] * 64, 0), (505, [float("nan")] + [1.0] * 63, 0), (506, [None] + [1.0] * 63, 0), (507, [1.0, 2.0], 0), (508, [2.0, 4.1], 0), (509, [], 0), (510, [float("inf")] * 64, 0), (0, rows[0][1], 0), (None, rows[1][1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("key", F.lit("x"))
+    good = [r[2] is not None and bool(r[1]) and None not in r[1] and bool(np.isfinite(r[1]).all()) and any(r[1]) for r in rows]
+
+    def linked(i, j):
+        a, b = rows[i], rows[j]
+        if not (good[i] and good[j] and a[2] == b[2] and len(a[1]) == len(b[1])):
+            return False
+        x, y = np.array(a[1]), np.array(b[1])
+        return x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93
+
+    n = [sum(linked(i, j) for j in range(len(rows)) if j != i) for i in range(len(rows))]
+    group = brute_components(rows, linked)
+    least: dict = {}
+    for r, g in zip(rows, group):
+        if r[0] is not None:
+            least[g] = min(r[0], least.get(g, r[0]))
+    want = sorted((-1 if r[0] is None else r[0], k, least.get(g, -1)) for r, k, g in zip(rows, n, group))
+    out = itq.similar_vectors(df).collect()
+    assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, -1 if r.component_id is None else r.component_id) for r in out) == want
+    assert all(r.kept == (r.vec_id == r.component_id) for r in out)
+    assert itq.similar_vectors(df.limit(0)).count() == 0 and itq.similar_vectors(df.where("label is null")).count() == 1
+
+
+def test_recall_at_the_boundary(spark):
+    """Pairs of cosine just above the threshold, the hardest to retrieve."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z = 0.935 * x + np.sqrt(1 - 0.935**2) * y
+    rows = [(2 * i, a.tolist(), 0) for i, a in enumerate(x)] + [(2 * i + 1, a.tolist(), 0) for i, a in enumerate(z)]
+    out = itq.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    found = sum(r.n_links > 0 for r in out) / len(out)
+    assert found >= 0.9, found
+
+
+# queries and pipeline
+
+
+def test_queries_equal_their_oracles(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+    for name, sql in queries.ORACLES.items():
+        df = queries.QUERIES[name](spark, sf)
+        rel = con.sql(sql)
+        at = [rel.columns.index(c) for c in df.columns]
+        assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall()), name
+
+
+def test_pipeline_stages(spark):
+    import os
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r.text for r in docs.collect()} if "text" in docs.columns else {}
+        out = stage(spark, docs, sf).cache()
+        if i + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns, name
+            after = {r.doc_id: r.text for r in out.collect()}
+            assert set(after) <= set(before) and len(after) > 0.5 * len(before), name
+            if i == 1:
+                seen = set()
+                for d in sorted(after):
+                    for x in after[d].split("\n"):
+                        if x.strip():
+                            assert " ".join(x.lower().split()) not in seen
+                            seen.add(" ".join(x.lower().split()))
+            else:
+                assert all(after[d] == before[d] for d in after)
+            docs = out
+        else:
+            assert {r.doc_id for r in out.collect()} == set(before)
+    digest = hashlib.sha256(repr(sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect()))).encode()).hexdigest()
+    assert len(digest) == 64
