@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from weftline.plans.scratch import stored, temporary
 
 from .graph import link_buckets, only
-from .words import utf8, words_of, worker_cache
+from .words import slices, utf8, words_of, worker_cache
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +51,7 @@ class _WordHash(dict):
     """64-bit hashes of words, alike on every machine; forgotten in bulk."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -148,10 +148,10 @@ def _signed(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, keys = utf8(batch.column("text")), batch.column("key").to_pylist()
             first: dict = {}
-            at = [first.setdefault(k, i) for i, k in enumerate(keys)]  # copies within a batch are signed once
+            at = [first.setdefault(k, i) for i, k in enumerate(keys)]  # copies within a slice are signed once
             own = [i for i, j in enumerate(at) if i == j]
             size, bands = bands_of([texts[i] for i in own])
             place = {i: k for k, i in enumerate(own)}
@@ -212,7 +212,7 @@ def _odd_shares(docs: DataFrame, ids: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             bags = [np.unique(shingles(t), return_counts=True) for t in utf8(batch.column("text"))]
             columns = [
                 batch.column("key"), pa.array([int(c.sum()) for _, c in bags], pa.int64()),

@@ -32,3 +32,10 @@ def utf8(column) -> list:
     import pyarrow as pa
 
     return column.cast(pa.large_binary()).to_pylist()
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches cut small, so that what is made from one at a time stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
