@@ -25,3 +25,17 @@ def test_masks_hold_the_points_of_every_image(spark):
     assert counts == {v: sum(x == v for _, x in want.values()) for v in range(2, 6)}
     tiles = {tuple(r) for r in QUERIES["tile_classes_all"](spark, SF).select("image_id", "tile_id", "value").collect()}
     assert tiles == {(i, f"{y // 8 * 8}_{x // 8 * 8}", v) for (i, y, x), (_, v) in want.items()}
+
+
+def test_hierarchy_holds_every_customer(spark):
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").collect()
+    regions = {r.r_regionkey: r.r_name.lower() for r in read("region")}
+    nations = {n.n_nationkey: n for n in read("nation")}
+    level = {"loop_a": None, "loop_b": None, "orphan": 1} | dict.fromkeys(regions.values(), 0)
+    level |= {n.n_name.lower(): 1 for n in nations.values()}
+    up = dict.fromkeys(["loop_a", "loop_b", "orphan"]) | {name: name if k != 2 else None for k, name in regions.items()}
+    up |= {n.n_name.lower(): n.n_name.lower() if k % 4 == 0 else up[regions[n.n_regionkey]] for k, n in nations.items()}
+    for c in read("customer"):
+        level[c.c_name.lower()], up[c.c_name.lower()] = 2, up[nations[c.c_nationkey].n_name.lower()]
+    assert {r.label: r.level for r in QUERIES["hierarchy_levels_all"](spark, SF).collect()} == level
+    assert {r.label: r.ancestor for r in QUERIES["hierarchy_rollup_all"](spark, SF).collect()} == up

@@ -57,9 +57,9 @@ def source_to_target(spark, sf_dir):
     return R.source_to_target(_vocab(v), pairs, R.target_ids(pairs))
 
 
-def _edges(v):
+def _edges(v, leaves="c_custkey % 50 = 0"):
     """Customers below nations below regions, names in mixed case."""
-    low = v.customer.where("c_custkey % 50 = 0").join(F.broadcast(v.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("name"), F.col("n_name").alias("parent"))
+    low = v.customer.where(leaves).join(F.broadcast(v.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("name"), F.col("n_name").alias("parent"))
     mid = v.nation.join(F.broadcast(v.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("parent"))
     top = v.region.select(F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent"))
     ring = v.spark.sql("SELECT * FROM VALUES ('loop_a', 'loop_b'), ('loop_b', 'loop_a'), ('orphan', 'nowhere') AS t(name, parent)")
@@ -72,6 +72,7 @@ UNION ALL SELECT lower(r_name), NULL FROM region UNION ALL VALUES ('loop_a', 'lo
 up AS (SELECT name AS label, name AS ancestor, 0 AS depth, [name] AS seen, false AS cycle FROM edges
 UNION ALL SELECT up.label, e.parent, up.depth + 1, list_append(up.seen, e.parent), list_contains(up.seen, e.parent) FROM up JOIN edges e ON up.ancestor = e.name
 WHERE e.parent IS NOT NULL AND NOT up.cycle)"""
+_ALL_EDGES = _EDGES.replace(" WHERE c_custkey % 50 = 0", "")  # the same of every customer
 
 
 @query(f"WITH RECURSIVE {_EDGES} SELECT label, CASE WHEN NOT bool_or(cycle) THEN max(depth) END AS level FROM up GROUP BY label")
@@ -87,6 +88,19 @@ def hierarchy_rollup(spark, sf_dir):
     return R.nearest(R.ancestors(_edges(v)), targets)
 
 
+@query(f"WITH RECURSIVE {_ALL_EDGES} SELECT label, CASE WHEN NOT bool_or(cycle) THEN max(depth) END AS level FROM up GROUP BY label")
+def hierarchy_levels_all(spark, sf_dir):
+    return R.levels(R.ancestors(_edges(Views(spark, sf_dir), "true")))
+
+
+@query(f"""WITH RECURSIVE {_ALL_EDGES}, t AS (SELECT lower(r_name) AS a FROM region WHERE r_regionkey <> 2 UNION SELECT lower(n_name) FROM nation WHERE n_nationkey % 4 = 0)
+SELECT label, arg_min(ancestor, depth) FILTER (WHERE ancestor IN (SELECT a FROM t) AND NOT cycle) AS ancestor FROM up GROUP BY label""")
+def hierarchy_rollup_all(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    targets = v.region.where("r_regionkey != 2").select(F.lower("r_name").alias("target")).union(v.nation.where("n_nationkey % 4 = 0").select(F.lower("n_name")))
+    return R.nearest(R.ancestors(_edges(v, "true")), targets)
+
+
 @query("""WITH c AS (SELECT 'l' || p_partkey AS label, 'd' || p_partkey % 3 AS dataset, 'l' || p_partkey // 2 AS target,
     CASE WHEN p_partkey < 20 THEN 'goal' ELSE 'd' || (p_partkey // 2) % 3 END AS td FROM part WHERE p_partkey % 9 <> 0)
 SELECT label, dataset, reached FROM (WITH RECURSIVE w AS (SELECT label, dataset, target AS spot, td, 1 AS depth FROM c
