@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from weftline.operators import registry
 from weftline.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +40,13 @@ def test_hierarchy_holds_every_customer(spark):
         level[c.c_name.lower()], up[c.c_name.lower()] = 2, up[nations[c.c_nationkey].n_name.lower()]
     assert {r.label: r.level for r in QUERIES["hierarchy_levels_all"](spark, SF).collect()} == level
     assert {r.label: r.ancestor for r in QUERIES["hierarchy_rollup_all"](spark, SF).collect()} == up
+
+
+def test_chains_are_followed_to_their_end(spark):
+    pairs = [(f"a{i}", "d", f"a{i + 1}", "goal" if i == 24 else "d") for i in range(25)]
+    pairs += [("x", "d", "y", "d"), ("y", "d", "x", "d"), ("o", "d", "nowhere", "d"), ("s", "d", "s", "d"), ("n", "d", None, None)]
+    df = spark.createDataFrame(pairs, "label string, dataset string, target string, target_dataset string")
+    got = {r.label: r.reached for r in registry.follow_chain(df, "goal").collect()}
+    assert got == {f"a{i}": "a25" for i in range(25)} | dict.fromkeys(["x", "y", "o", "s", "n"])
+    with pytest.raises(Exception, match="RECURSION_LEVEL"):
+        registry.follow_chain(df, "goal", depth=5).collect()

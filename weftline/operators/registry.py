@@ -106,25 +106,31 @@ def nearest(closure: DataFrame, targets: DataFrame) -> DataFrame:
     return closure.select("label").distinct().join(found, "label", "left")
 
 
-def follow_chain(pairs: DataFrame, goal: str, depth: int = 20) -> DataFrame:
+#: A walk of more steps than this raises.
+STEPS = 1_000_000
+
+
+def follow_chain(pairs: DataFrame, goal: str, depth: int = STEPS) -> DataFrame:
     """Follow (label, dataset) -> (target, target_dataset) until the goal dataset.
 
     One row per starting pair: the label reached in ``goal``, or null where the
-    chain ends elsewhere or runs in a circle.
+    chain ends elsewhere or runs in a circle. A walk stops at the goal, at a
+    pair that leads nowhere, or at one that it has met; one of more than
+    ``depth`` steps raises, as the recursion stops there.
     """
     walked = pairs.sparkSession.sql(
         """
-        WITH RECURSIVE w(label, dataset, at, at_dataset, depth) MAX RECURSION LEVEL {limit} AS (
-            SELECT label, dataset, target, target_dataset, 1 FROM {pairs}
+        WITH RECURSIVE w(label, dataset, at, at_dataset, seen, cycle) MAX RECURSION LEVEL {depth} AS (
+            SELECT label, dataset, target, target_dataset, array(struct(target AS l, target_dataset AS d)), false FROM {pairs}
             UNION ALL
-            SELECT w.label, w.dataset, c.target, c.target_dataset, w.depth + 1
+            SELECT w.label, w.dataset, c.target, c.target_dataset, array_append(w.seen, struct(c.target AS l, c.target_dataset AS d)),
+                array_contains(w.seen, struct(c.target AS l, c.target_dataset AS d))
             FROM w JOIN {pairs} c ON w.at = c.label AND w.at_dataset = c.dataset
-            WHERE w.at_dataset <> :goal AND w.depth < {depth})
-        SELECT * FROM w""",
+            WHERE w.at_dataset <> :goal AND NOT w.cycle)
+        SELECT label, dataset, at, at_dataset FROM w""",
         pairs=pairs.select("label", "dataset", "target", "target_dataset"),
         args={"goal": goal},
         depth=depth,
-        limit=depth + 2,
     )
     return walked.groupBy("label", "dataset").agg(F.max(F.when(F.col("at_dataset") == goal, F.col("at"))).alias("reached"))
 
