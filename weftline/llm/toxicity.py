@@ -2,10 +2,11 @@
 
 A word enters as its embedding (words of three labelled documents or more have
 one, others share none) beside the mean of its hashed character n-gram
-embeddings. Windows of 64 words, 48 apart, run through a
+embeddings. Windows of 64 words, 32 apart, run through a
 gated recurrent unit in both directions; attention pools the states of a
-window to one probability, and a text scores as its most toxic window. All
-windows of the whole text are scored.
+window to one probability, and a text scores as its most toxic window. Windows
+start at every 32nd word of the whole text, and one ends with it, so any run of
+33 words or fewer lies whole in a window.
 
 Training is in numpy, from labels of documents only: each epoch takes the
 windows that the network finds most toxic in each document (and random ones of
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .words import utf8, words_of, worker_cache
 
-SPAN, STRIDE = 64, 48
+SPAN, STRIDE = 64, 32
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 4000, 20_000
 GRAMS = (3, 5)
 WORDS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 60_000, 1 << 17, 6, 8, 10, 8
