@@ -4,7 +4,7 @@ Documents are tokenised and packed where they lie, with no shuffle. The index
 is sharded: each run of about ``shard_tokens`` tokens of an input partition is
 a shard with a BM25 inverted index over token ids. The first document of a
 window is its seed; while the window has room, the shard's unused document
-that scores best against the seed's heaviest terms follows, and where none
+that scores best against all the seed's terms follows, and where none
 shares a term, the next unused one. A document that does not fit is cut, and
 its rest seeds the next window. The open window passes from shard to shard, so
 a partition has one padded window, its last.
@@ -20,7 +20,6 @@ from .words import utf8, worker_cache
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 20
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, `offset` bigint"
@@ -138,18 +137,18 @@ class Index:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length[doc] / length.mean())
         self.doc, self.weight = doc, idf * tf * (K1 + 1) / (tf + norm)
-        # terms of one document reach nobody, and terms of over half of all say nothing
-        use = np.flatnonzero((df > 1) & (2 * df <= n))
-        use = use[np.lexsort((-self.weight[use], doc[use]))]
+        use = np.flatnonzero(df > 1)  # terms of one document reach nobody
+        use = use[np.argsort(doc[use], kind="stable")]
         self.query_term, self.query_at = of[use], np.searchsorted(doc[use], np.arange(n + 1))
 
     def scores(self, seed: int):
         import numpy as np
 
-        terms = self.query_term[self.query_at[seed] : self.query_at[seed + 1]][:QUERY_TERMS]
+        terms = self.query_term[self.query_at[seed] : self.query_at[seed + 1]]
         if not len(terms):
             return np.zeros(self.n)
-        rows = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
+        first, many = self.first[terms], self.first[terms + 1] - self.first[terms]
+        rows = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
         return np.bincount(self.doc[rows], self.weight[rows], minlength=self.n)
 
 
