@@ -34,7 +34,7 @@ def test_training_manifest_scales_points_and_drops_unusable_images(spark):
     img = spark.createDataFrame(
         [(1, "sub", 1000, 800, False), (1, "big", 4000, 2000, True), (1, "fail", 5000, 3000, True), (1, "missing", 6000, 3000, True), (1, "nodims", None, None, False)],
         "source_id int, image_id string, width int, height int, needs_resize boolean",
-    )
+    ).withColumn("s3_key", F.concat(F.lit("raw/"), "image_id"))
     ck = spark.createDataFrame([(1, "big", "completed"), (1, "fail", "failed")], "source_id int, image_id string, status string")
     ann = spark.createDataFrame(
         [(1, "sub", 400, 500, 82), (1, "big", 1000, 2000, 91), (1, "big", 1999, 3999, 91), (1, "fail", 10, 10, 7), (1, "missing", 10, 10, 7), (1, "nodims", 10, 10, 7)],
@@ -45,11 +45,14 @@ def test_training_manifest_scales_points_and_drops_unusable_images(spark):
         ("big", 512, 1024, 2048, 1024, "91"), ("big", 1023, 2047, 2048, 1024, "91"), ("sub", 400, 500, 1000, 800, "82"),
     ]
     assert dict(out.dtypes)["row"] == "smallint"
+    assert {r.image_s3_key for r in out.collect()} == {"raw/sub", "data/resized/s1/images/big.jpg"}
+    done = manifest.resize_manifest(img, ck.withColumn("resize_timestamp", F.lit(None)).unionByName(spark.createDataFrame([(1, "sub", None, None)], "source_id int, image_id string, status string, resize_timestamp string")))
+    assert rows(done, "image_id", "original_width", "resized_width", "resized_height") == [("big", 4000, 2048, 1024), ("fail", 5000, 2048, 1228)]
 
 
 @pytest.mark.parametrize("w,h", [(4000, 2000), (2000, 4000), (3000, 3000), (2049, 2049), (800, 600), (2048, 1000)])
 def test_corner_points_stay_inside(spark, w, h):
-    img = spark.createDataFrame([(1, "i", w, h)], "source_id int, image_id string, width int, height int")
+    img = spark.createDataFrame([(1, "i", w, h, "k")], "source_id int, image_id string, width int, height int, s3_key string")
     img = img.withColumn("needs_resize", manifest.needs_resize(F.col("width"), F.col("height")))
     ck = spark.createDataFrame([(1, "i", "completed")], "source_id int, image_id string, status string")
     ann = spark.createDataFrame([(1, "i", h - 1, w - 1, 1)], "source_id int, image_id string, row int, col int, label_id int")
@@ -59,17 +62,83 @@ def test_corner_points_stay_inside(spark, w, h):
     assert (r.load_width, r.load_height) == want and 0 <= r.row < r.load_height and 0 <= r.col < r.load_width
 
 
-def test_merge_annotations_reads_status_from_name_or_column(spark):
-    pages = spark.createDataFrame([(1, "a.jpg", "/image/10/view/"), (1, "b.jpg", "https://x/image/11/"), (1, "c.jpg", None)], "source_id int, Name string, `Image Page` string")
-    kind = "source_id int, Name string, `Row` string, Column string, `Label ID` string"
-    pts = spark.createDataFrame([(1, "a.jpg - Confirmed", "1", "2.0", "5"), (1, "a.jpg - Unconfirmed", "1", "2", "5"), (1, "b.jpg - Confirmed", "nan", "2", "5"), (1, "c.jpg - Confirmed", "1", "2", "5")], kind)
+POINTS = "source_id int, Name string, `Row` string, Column string, `Label ID` string"
+PAGES = "source_id int, Name string, `Image Page` string"
+
+
+def test_status_comes_from_the_image_list_or_the_points(spark):
+    pages = spark.createDataFrame(
+        [(1, "a.jpg - Confirmed", "/image/10/view/"), (1, "b.jpg", "https://x/image/11/"), (1, "c.jpg - Confirmed", None), (1, "d.jpg - Unconfirmed", "/image/12/")], PAGES
+    )
+    pts = spark.createDataFrame(
+        [(1, "a.jpg", "1", "2.0", "5"), (1, "a.jpg", "nan", "2", "5"), (1, "b.jpg", "1", "2", "5"), (1, "c.jpg", "1", "2", "5"), (1, "d.jpg", "1", "2", "5"), (2, "a.jpg", "1", "2", "5")], POINTS
+    )
+    # points without a status of their own take that of their image; the name of points is left as it is
     assert rows(annotations.merge_annotations(pts, pages)) == [(1, "10", 1, 2, 5, "Confirmed")]
-    own = spark.createDataFrame([(1, "b.jpg", "3", "4", "6", "Confirmed"), (1, "b.jpg - Confirmed", "3", "4", "6", "Unconfirmed")], kind + ", Status string")
-    assert rows(annotations.merge_annotations(own, pages)) == [(1, "11", 3, 4, 6, "Confirmed")]
+    assert annotations.merge_annotations(pts.withColumn("Name", F.concat("Name", F.lit(" - Confirmed"))), pages).count() == 0
+    own = spark.createDataFrame([(1, "b.jpg", "3", "4", "6", "Confirmed"), (1, "a.jpg", "3", "4", "6", "Unconfirmed"), (1, "d.jpg", "7", "8", "6", "confirmed"), (1, "a.jpg", "9", "9", "6", None)], POINTS + ", Status string")
+    assert rows(annotations.merge_annotations(own, pages)) == [(1, "10", 9, 9, 6, "Confirmed"), (1, "11", 3, 4, 6, "Confirmed")]
     audit = spark.createDataFrame([(1, False)], "source_id int, is_complete boolean")
     assert annotations.merge_annotations(own, pages, audit).count() == 0
 
 
+def test_one_confirmed_image_of_an_old_export(spark):
+    pages = spark.createDataFrame([(1, "img_1.jpg - Confirmed", "/image/1/view/")], PAGES)
+    pts = spark.createDataFrame([(1, "img_1.jpg", "1", "2", "3")], POINTS)
+    assert annotations.merge_annotations(pts, pages).count() == 1
+
+
+def test_audit_counts_rows_and_feeds_the_probes(spark):
+    sources = spark.createDataFrame([(1, ["annotations.csv", "image_list.csv"]), (2, ["annotations.csv", "image_list.csv", "labelset.csv"]), (3, [])], "source_id int, files array<string>")
+    objects = spark.createDataFrame([(1,), (1,), (2,)], "source_id int")
+    points = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a")], "source_id int, Name string")
+    listed = spark.createDataFrame([(1, "a"), (1, "a")], "source_id int, Name string")  # one name twice: two rows
+    none = spark.createDataFrame([], "source_id int")
+    bad = spark.createDataFrame([(2, "annotations.csv", "broken")], "source_id int, file string, error string")
+    audit = annotations.source_audit(sources, objects, points, listed, none, none, bad)
+    assert audit.columns == schemas.AUDIT.fieldNames()
+    got = {r.source_id: r for r in audit.collect()}
+    assert got[1].n_images_csv == 2 and got[1].image_count_match and got[1].is_complete and got[1].errors is None
+    assert got[2].annotations_csv_read_failed and got[2].n_annotations == 0 and not got[2].annotations_empty and got[2].image_list_empty
+    assert got[2].errors == ["annotations.csv read failed: broken"] and got[2].n_labels == 0 and got[2].labelset_empty
+    assert not got[3].has_images_folder and got[3].n_labels is None
+    probes = spark.createDataFrame([(1, True, 5, 3), (2, True, 5, 3), (9, True, 5, 3)], "source_id int, accessible boolean, n_confirmed_website int, total_images_website int")
+    report = remediate.probe_report(probes, audit)
+    assert rows(report, "source_id", "images_gap", "action") == [(1, 1, remediate.MANUAL), (2, 2, remediate.CSV), (9, 3, remediate.MANUAL)]
+
+
+def test_a_label_has_one_target(spark):
+    vocab = spark.createDataFrame([("s", "Coral", 1)], "source string, label string, local_id int")
+    pairs = spark.createDataFrame([("CORAL", "soft", 1), ("coral", "Hard", 2), ("algae", None, 3)], "label string, target string, position int")
+    targets = registry.target_ids(pairs, position="position")
+    assert rows(targets) == [("hard", 1)]
+    assert rows(registry.source_to_target(vocab, pairs, targets, position="position")) == [("s", "Coral", 1, 1)]
+    assert registry.conflicting_targets(pairs).count() == 1
+
+
+def test_wide_annotators_and_failures(spark):
+    names = spark.createDataFrame([(1, "coral"), (2, "algae")], "id int, name string")
+    wide = spark.createDataFrame([(1, "1", "2"), (2, "9", "1"), (3, "2", ""), (4, "1", "7")], "k int, archived string, host string")
+    out = registry.wide_annotations(wide, names, "archived", ["host", "robot"])
+    assert rows(out, "k", "archived") == [(1, "coral"), (3, "algae"), (4, "coral")]
+    assert {r.k: (r.host, r.robot) for r in out.collect()} == {1: ("algae", None), 3: (None, None), 4: (None, None)}
+    loads = spark.createDataFrame([(0, False), (0, False), (1, True), (1, False)], "epoch int, failed boolean")
+    rates = metrics.failure_rates(loads, "epoch", "failed")
+    assert rows(rates, "epoch", "too_many") == [(0, False), (1, True)]
+    with pytest.raises(metrics.TooManyFailures):
+        metrics.guard_failures(rates, "epoch")
+    assert metrics.guard_failures(metrics.failure_rates(loads, "epoch", "failed", 0.5), "epoch").count() == 2
+
+
+def test_training_stops_early(spark):
+    values = [0.1, 0.5, 0.55, 0.52, 0.9]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)] + [("b", 0, 0.3)], "run string, epoch int, v double")
+    stop = lambda patience, delta: rows(metrics.early_stopping(df, "run", "epoch", "v", "max", patience, delta))
+    assert [tuple(r)[:2] + tuple(r)[3:] for r in stop(2, 0.1)] == [("a", 1, 3), ("b", 0, None)]
+    assert [tuple(r)[:2] + tuple(r)[3:] for r in stop(3, 0.1)] == [("a", 4, None), ("b", 0, None)]
+    assert rows(metrics.early_stopping(df, "run", "epoch", "v", "min", 1), "run", "stop_epoch") == [("a", 1), ("b", None)]
+
+
 def test_queue_resumes_pending_and_notices_stale_checkpoints(spark):
     todo = spark.createDataFrame([(1, "a", 3000, 2000)], "source_id int, image_id string, width int, height int")
     ck = workqueue.new_checkpoint(todo)
@@ -132,6 +201,13 @@ def test_scan_images(spark):
         [(1, "a", "k", bytearray(jpeg(4096, 3000)), 9), (1, "b", "k", bytearray(b"xx"), 2)], "source_id int, image_id string, s3_key string, content binary, length long"
     )
     assert rows(images.scan_images(df), "image_id", "width", "needs_resize", "header_status") == [("a", 4096, True, "ok"), ("b", None, False, "corrupt")]
+    far = [("near", jpeg(10, 20, 1)), ("far", jpeg(10, 20, 2)), ("beyond", jpeg(10, 20, 18)), ("gone", None)]
+    df = spark.createDataFrame([(1, i, "k", c and bytearray(c), 9, None) for i, c in far] + [(1, "denied", "k", None, None, "403")], "source_id int, image_id string, s3_key string, content binary, length long, error string")
+    got = {r.image_id: (r.width, r.header_status, r.error_message) for r in images.scan_images(df).collect()}
+    assert got == {
+        "near": (10, "ok", None), "far": (10, "sof_not_found_extended", None), "beyond": (None, "corrupt", "corrupt"),
+        "gone": (None, "not_found", "not_found"), "denied": (None, "s3_error", "403"),
+    }
 
 
 def test_remediation_branches(spark):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import image_key, resized_key
+from weftline.functions.text import resized_key
 
 KEY = ("source_id", "image_id")
 MAX_EDGE = 2048
@@ -51,13 +51,13 @@ def resized(edge: Column, w: Column, h: Column, most: int = MAX_EDGE) -> Column:
 
 
 def resize_manifest(images: DataFrame, checkpoint: DataFrame, prefix: str = "data", most: int = MAX_EDGE) -> DataFrame:
-    """Images of the checkpoint with their status, resized dimensions and key."""
-    status = checkpoint.select(*KEY, "status")
+    """Images that the checkpoint has a status for, with original and resized dimensions, key, time and status."""
+    done = checkpoint.where("status is not null").select(*KEY, "status", "resize_timestamp")
     w, h = F.col("width"), F.col("height")
-    return images.join(status, list(KEY)).select(
-        *KEY, "status", "width", "height",
+    return images.select(*KEY, "width", "height").join(done, list(KEY)).select(
+        *KEY, w.alias("original_width"), h.alias("original_height"),
         resized(w, w, h, most).alias("resized_width"), resized(h, w, h, most).alias("resized_height"),
-        resized_key(prefix, F.col("source_id"), F.col("image_id")).alias("resized_key"),
+        resized_key(prefix, F.col("source_id"), F.col("image_id")).alias("output_s3_key"), "resize_timestamp", "status",
     )
 
 
@@ -66,7 +66,7 @@ def image_manifest(images: DataFrame, checkpoint: DataFrame, prefix: str = "data
 
     An image that needs resizing is usable once its resize is completed; one
     without known positive dimensions never is. Load dimensions shrink wherever
-    the resized file is used.
+    the resized file is used; any other image keeps the key ``s3_key`` it is stored under.
     """
     rows = images.join(checkpoint.select(*KEY, "status"), list(KEY), "left")
     use = F.col("needs_resize") & (F.coalesce("status", F.lit("")) == "completed")
@@ -75,9 +75,7 @@ def image_manifest(images: DataFrame, checkpoint: DataFrame, prefix: str = "data
     usable = (~F.col("needs_resize") | F.col("uses_resized_image")) & (w > 0) & (h > 0)
     rows = rows.withColumn("uses_resized_image", use).where(usable)
     load = lambda edge: F.when(F.col("uses_resized_image"), scaled(edge, longest, most)).otherwise(edge)
-    key = F.when(F.col("uses_resized_image"), resized_key(prefix, F.col("source_id"), F.col("image_id"))).otherwise(
-        image_key(prefix, F.col("source_id"), F.col("image_id"))
-    )
+    key = F.when(F.col("uses_resized_image"), resized_key(prefix, F.col("source_id"), F.col("image_id"))).otherwise(F.col("s3_key"))
     return rows.select(*KEY, "width", "height", load(w).alias("load_width"), load(h).alias("load_height"), key.alias("image_s3_key"), "uses_resized_image")
 
 

@@ -52,7 +52,8 @@ class Views:
         w = F.when(known, (500 + (k * 37) % 4000).cast("int"))
         h = (400 + (k * 53) % 3000).cast("int")
         return self.orders.select(
-            (k % 50).cast("int").alias("source_id"), k.cast("string").alias("image_id"), w.alias("width"), h.alias("height"),
+            (k % 50).cast("int").alias("source_id"), k.cast("string").alias("image_id"),
+            F.concat(F.lit("raw/"), k.cast("string"), F.lit(".JPG")).alias("s3_key"), w.alias("width"), h.alias("height"),
             (known & (F.greatest(w, h) > 2048)).alias("needs_resize"), (k % 10).alias("tenth"),
         )
 
@@ -76,7 +77,7 @@ ANN = """ann AS (SELECT cast(l_orderkey % 50 AS INTEGER) AS source_id, cast(l_or
     l_linenumber * 100 AS row, cast(trunc(l_quantity) AS INTEGER) * 10 AS col, cast(l_partkey % 40 AS INTEGER) AS label_id,
     l_orderkey % 10 AS tenth FROM lineitem)"""
 IMG = """img AS (SELECT *, width IS NOT NULL AND greatest(width, height) > 2048 AS needs_resize FROM (
-    SELECT cast(o_orderkey % 50 AS INTEGER) AS source_id, cast(o_orderkey AS VARCHAR) AS image_id,
+    SELECT cast(o_orderkey % 50 AS INTEGER) AS source_id, cast(o_orderkey AS VARCHAR) AS image_id, 'raw/' || o_orderkey || '.JPG' AS s3_key,
     CASE WHEN o_orderkey % 97 <> 0 THEN cast(500 + (o_orderkey * 37) % 4000 AS INTEGER) END AS width,
     cast(400 + (o_orderkey * 53) % 3000 AS INTEGER) AS height, o_orderkey % 10 AS tenth FROM orders))"""
 RUNS = """runs AS (SELECT cast(o_orderkey % 50 AS INTEGER) AS source_id, cast(o_orderkey AS VARCHAR) AS image_id,

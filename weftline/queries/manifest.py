@@ -12,7 +12,7 @@ _W, _H = "cast(floor(width * (2048.0::DOUBLE / greatest(width, height))) AS INTE
 @query(f"""WITH {ANN}, {IMG}, {RUNS}, {LATEST},
 m AS (SELECT *, needs_resize AND coalesce(status, '') = 'completed' AS use FROM img LEFT JOIN latest USING (source_id, image_id)),
 u AS (SELECT *, CASE WHEN use THEN {_W} ELSE width END AS lw, CASE WHEN use THEN {_H} ELSE height END AS lh,
-    CASE WHEN use THEN 'data/resized/s' ELSE 'data/s' END || source_id || '/images/' || image_id || '.jpg' AS key
+    CASE WHEN use THEN 'data/resized/s' || source_id || '/images/' || image_id || '.jpg' ELSE s3_key END AS key
     FROM m WHERE (NOT needs_resize OR use) AND width > 0 AND height > 0)
 SELECT source_id, image_id,
     cast(greatest(least(floor(row * (lh::DOUBLE / height)), lh - 1), 0) AS SMALLINT) AS row,
@@ -26,14 +26,15 @@ def training_manifest(spark, sf_dir):
 
 
 @query(f"""WITH {IMG}, {RUNS}, {LATEST}
-SELECT source_id, image_id, status, width, height,
+SELECT source_id, image_id, status, resize_timestamp, width AS original_width, height AS original_height,
     CASE WHEN width IS NOT NULL AND greatest(width, height) > 2048 THEN {_W} ELSE width END AS resized_width,
     CASE WHEN width IS NOT NULL AND greatest(width, height) > 2048 THEN {_H} ELSE height END AS resized_height,
-    'data/resized/s' || source_id || '/images/' || image_id || '.jpg' AS resized_key
-FROM img JOIN latest USING (source_id, image_id)""")
+    'data/resized/s' || source_id || '/images/' || image_id || '.jpg' AS output_s3_key
+FROM img JOIN latest USING (source_id, image_id) WHERE cast(image_id AS BIGINT) % 31 <> 0""")
 def resize_manifest(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return M.resize_manifest(v.img, M.latest_rows(v.runs))
+    checkpoint = M.latest_rows(v.runs).withColumn("status", F.when(F.col("image_id").cast("bigint") % 31 != 0, F.col("status")))
+    return M.resize_manifest(v.img, checkpoint)
 
 
 @query(f"WITH {RUNS}, {LATEST} SELECT * FROM latest")
@@ -55,8 +56,8 @@ def keep_first_dedup(spark, sf_dir):
     return M.newest(rows, ["user_id", "event_type"], [F.col("event_id")])
 
 
-@query("""WITH p AS (SELECT event_id % 7 AS page, event_id AS pos, user_id, value FROM events)
+@query("""WITH p AS (SELECT (event_id * 7919) % 1009 AS page, event_id AS pos, user_id, value FROM events)
 SELECT user_id, page, pos, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY page, pos) AS k FROM p) WHERE k = 1""")
 def first_seen_by_page(spark, sf_dir):
-    rows = Views(spark, sf_dir).events.select("user_id", (F.col("event_id") % 7).alias("page"), F.col("event_id").alias("pos"), "value")
+    rows = Views(spark, sf_dir).events.select("user_id", ((F.col("event_id") * 7919) % 1009).alias("page"), F.col("event_id").alias("pos"), "value")
     return M.newest(rows, ["user_id"], [F.col("page"), F.col("pos")])

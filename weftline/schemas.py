@@ -9,34 +9,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_TYPES = {
-    "int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(),
-    "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()),
-}
-
-
-def _schema(ddl: str) -> T.StructType:
-    """A schema in which a type that ends in "!" is required."""
-    fields = []
-    for part in ddl.split(";"):
-        name, kind = part.split()
-        required = kind.endswith("!")
-        fields.append(T.StructField(name, _TYPES[kind.rstrip("!")], not required))
-    return T.StructType(fields)
-
-
-AUDIT = _schema(
-    "source_id int!;audit_timestamp timestamp!;has_images_folder boolean!;has_annotations_csv boolean!;has_image_list_csv boolean!;"
-    "has_labelset_csv boolean!;has_metadata_csv boolean!;n_images_s3 bigint!;n_images_csv bigint!;n_annotations bigint!;"
-    "n_unique_images_annotated bigint!;n_labels bigint;n_metadata_rows bigint;annotations_empty boolean!;image_list_empty boolean!;"
-    "labelset_empty boolean!;metadata_empty boolean!;annotations_csv_read_failed boolean!;image_list_csv_read_failed boolean!;"
-    "labelset_csv_read_failed boolean!;metadata_csv_read_failed boolean!;is_complete boolean!;image_count_match boolean!;"
-    "image_list_covers_annotations boolean!;errors array<string>"
+# The declared tables; the last argument of a field is whether it may be null.
+AUDIT = T.StructType(
+    [
+        T.StructField("source_id", T.IntegerType(), False),
+        T.StructField("audit_timestamp", T.TimestampType(), False),
+        T.StructField("has_images_folder", T.BooleanType(), False),
+        T.StructField("has_annotations_csv", T.BooleanType(), False),
+        T.StructField("has_image_list_csv", T.BooleanType(), False),
+        T.StructField("has_labelset_csv", T.BooleanType(), False),
+        T.StructField("has_metadata_csv", T.BooleanType(), False),
+        T.StructField("n_images_s3", T.LongType(), False),
+        T.StructField("n_images_csv", T.LongType(), False),
+        T.StructField("n_annotations", T.LongType(), False),
+        T.StructField("n_unique_images_annotated", T.LongType(), False),
+        T.StructField("n_labels", T.LongType(), True),
+        T.StructField("n_metadata_rows", T.LongType(), True),
+        T.StructField("annotations_empty", T.BooleanType(), False),
+        T.StructField("image_list_empty", T.BooleanType(), False),
+        T.StructField("labelset_empty", T.BooleanType(), False),
+        T.StructField("metadata_empty", T.BooleanType(), False),
+        T.StructField("annotations_csv_read_failed", T.BooleanType(), False),
+        T.StructField("image_list_csv_read_failed", T.BooleanType(), False),
+        T.StructField("labelset_csv_read_failed", T.BooleanType(), False),
+        T.StructField("metadata_csv_read_failed", T.BooleanType(), False),
+        T.StructField("is_complete", T.BooleanType(), False),
+        T.StructField("image_count_match", T.BooleanType(), False),
+        T.StructField("image_list_covers_annotations", T.BooleanType(), False),
+        T.StructField("errors", T.ArrayType(T.StringType()), True),
+    ]
 )
-ANNOTATIONS = _schema("source_id int!;image_id string!;row int!;col int!;label_id int!;status string")
-IMAGES = _schema(
-    "source_id int!;image_id string!;s3_key string!;width int;height int;longest_edge int;file_size bigint;needs_resize boolean!;"
-    "header_status string!;error_message string"
+ANNOTATIONS = T.StructType(
+    [
+        T.StructField("source_id", T.IntegerType(), False),
+        T.StructField("image_id", T.StringType(), False),
+        T.StructField("row", T.IntegerType(), False),
+        T.StructField("col", T.IntegerType(), False),
+        T.StructField("label_id", T.IntegerType(), False),
+        T.StructField("status", T.StringType(), True),
+    ]
+)
+IMAGES = T.StructType(
+    [
+        T.StructField("source_id", T.IntegerType(), False),
+        T.StructField("image_id", T.StringType(), False),
+        T.StructField("s3_key", T.StringType(), False),
+        T.StructField("width", T.IntegerType(), True),
+        T.StructField("height", T.IntegerType(), True),
+        T.StructField("longest_edge", T.IntegerType(), True),
+        T.StructField("file_size", T.LongType(), True),
+        T.StructField("needs_resize", T.BooleanType(), False),
+        T.StructField("header_status", T.StringType(), False),
+        T.StructField("error_message", T.StringType(), True),
+    ]
 )
 KEYS = {"audit": ("source_id",), "annotations": ("source_id", "image_id", "row", "col"), "images": ("source_id", "image_id")}
 
