@@ -97,8 +97,12 @@ def test_replace_table_and_reports(spark, tmp_path):
     p = f"{tmp_path}/t"
     for n in (1, 2):
         sinks.replace_table(spark.range(n), p)
-        assert spark.read.parquet(p).count() == n
-    assert [x.name for x in tmp_path.iterdir()] == ["t"]
+        assert sinks.read_table(spark, p).count() == n
+    assert [x.name for x in tmp_path.iterdir()] == ["t"] and sinks.read_table(spark, f"{tmp_path}/none") is None
+    assert len([x for x in (tmp_path / "t").iterdir() if x.is_dir()]) == 1  # the version before is gone
+    with pytest.raises(Exception, match="ZERO"):  # a failed write leaves the table as it was
+        sinks.replace_table(spark.range(3).selectExpr("1 / (id - id) AS id"), p)
+    assert sinks.read_table(spark, p).count() == 2
     sinks.write_summary(spark.createDataFrame([(1, "x")], "a int, b string"), f"{tmp_path}/s.yaml")
     assert (tmp_path / "s.yaml").read_text() == "a: 1\nb: x\n"
     sinks.write_json(spark.range(1), f"{tmp_path}/j")

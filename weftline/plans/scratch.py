@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
@@ -12,20 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, as in
-    tests, a temporary folder that this session then keeps."""
+    tests, a temporary folder that this session then keeps. On a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             folder = jvm_dir.get()
+        elif not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             folder = "file:" + tempfile.mkdtemp(prefix="weftline-")
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-#: Paths written in the temporary() blocks that are open, innermost last.
-_open: list[list[str]] = []
+#: Paths written in the temporary() blocks that are open in this thread, innermost last.
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("weftline_open", default=())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,8 +46,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    if _open:
-        _open[-1].append(path)
+    if _open.get():
+        _open.get()[-1].append(path)
     return out
 
 
@@ -56,7 +59,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table from :func:`stored` that nothing reads any more."""
     _delete(df.sparkSession, df.scratch_path)
-    for paths in _open:
+    for paths in _open.get():
         if df.scratch_path in paths:
             paths.remove(df.scratch_path)
 
@@ -71,13 +74,14 @@ def temporary(spark: SparkSession):
         kept.add(df.scratch_path)
         return df
 
-    _open.append(paths)
+    outer = _open.get()
+    _open.set((*outer, paths))
     try:
         yield keep
     finally:
-        _open.remove(paths)
+        _open.set(outer)
         for path in paths:
             if path not in kept:
                 _delete(spark, path)
-            elif _open:
-                _open[-1].append(path)
+            elif outer:
+                outer[-1].append(path)

@@ -47,6 +47,21 @@ def read_source_csvs(spark: SparkSession, root: str, name: str, columns: Sequenc
     return found.withColumn("source_id", source_id_of(F.col("_metadata.file_path"))).where("source_id is not null").select("source_id", *columns)
 
 
+def unreadable(spark: SparkSession, root: str, names: Sequence[str] = CSV_FILES) -> DataFrame:
+    """(source_id, file, error) of source files that have bytes but give no line, so one broken file fails no other."""
+    rows = []
+    for name in names:
+        glob = f"{root}/s*/{name}"
+        if exists(spark, glob):
+            listed = list_objects(spark, glob).where("length > 0").select(source_id_of(F.col("path")).alias("source_id"))
+            read = spark.read.option("ignoreCorruptFiles", True).text(glob).select(source_id_of(F.col("_metadata.file_path")).alias("source_id"))
+            rows.append(listed.join(read.distinct(), "source_id", "left_anti").select("source_id", F.lit(name).alias("file"), F.lit("unreadable").alias("error")))
+    out = spark.createDataFrame([], "source_id int, file string, error string")
+    for df in rows:
+        out = out.unionByName(df)
+    return out
+
+
 def list_objects(spark: SparkSession, glob: str, root: str | None = None) -> DataFrame:
     """Paths and sizes of the files that match, without reading them."""
     if not exists(spark, glob):
