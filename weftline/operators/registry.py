@@ -27,7 +27,7 @@ def offsets(sizes: DataFrame, order: str, size: str) -> DataFrame:
 def global_ids(vocabularies: DataFrame) -> DataFrame:
     """Disjoint ids: a label's local id after the labels of all sources before its own."""
     sizes = vocabularies.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
-    return vocabularies.join(F.broadcast(offsets(sizes, "source", "size")), "source").select(
+    return vocabularies.join(offsets(sizes, "source", "size"), "source").select(
         "source", "label", "local_id", (F.col("offset") + F.col("local_id")).alias("global_id")
     )
 
@@ -37,34 +37,46 @@ def overlapping_offsets(sizes: DataFrame) -> DataFrame:
     return sizes.groupBy("offset").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def label_map(pairs: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(label, target) in lower case without null targets; overrides replace a label's target."""
-    low = lambda df: df.select(F.lower("label").alias("label"), F.lower("target").alias("target"))
-    if overrides is not None:
-        pairs = low(overrides).unionByName(low(pairs).join(low(overrides).select("label"), "label", "left_anti"))
-    return low(pairs).where("target is not null").distinct()
+def label_map(pairs: DataFrame, overrides: DataFrame | None = None, position: str | None = None) -> DataFrame:
+    """(label, target) in lower case without null targets, one target a label; overrides replace a label's target.
+
+    Of several targets that lower-casing gives a label, the last by the column
+    ``position`` counts, or the greatest where pairs have no order.
+    """
+
+    def low(df: DataFrame) -> DataFrame:
+        rows = df.where("target is not null").groupBy(F.lower("label").alias("label"))
+        target = F.lower("target")
+        return rows.agg((F.max_by(target, F.struct(position, target)) if position else F.max(target)).alias("target"))
+
+    if overrides is None:
+        return low(pairs)
+    new = low(overrides)
+    return new.unionByName(low(pairs).join(new.select("label"), "label", "left_anti"))
 
 
 def conflicting_targets(pairs: DataFrame) -> DataFrame:
     """Labels that lower-casing gives several targets."""
-    return label_map(pairs).groupBy("label").agg(F.count_distinct("target").alias("n")).where("n > 1")
+    return pairs.groupBy(F.lower("label").alias("label")).agg(F.count_distinct(F.lower("target")).alias("n")).where("n > 1")
 
 
-def target_ids(pairs: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
+def target_ids(pairs: DataFrame, subset: Sequence[str] | None = None, position: str | None = None) -> DataFrame:
     """Ids 1..N of the sorted distinct targets, or of a subset of them."""
-    names = label_map(pairs).select("target").distinct()
+    names = label_map(pairs, position=position).select("target").distinct()
     if subset is not None:
         names = names.where(F.col("target").isin([s.lower() for s in subset]))
     return names.withColumn("target_id", F.row_number().over(Window.orderBy("target")))
 
 
-def source_to_target(vocab: DataFrame, pairs: DataFrame, targets: DataFrame, closure: DataFrame | None = None) -> DataFrame:
-    """The target id of each vocabulary row, 0 where nothing maps.
+def source_to_target(
+    vocab: DataFrame, pairs: DataFrame, targets: DataFrame, closure: DataFrame | None = None, position: str | None = None
+) -> DataFrame:
+    """The target id of each vocabulary row, 0 where nothing maps; one row out for each row in.
 
     With ``closure`` (label, ancestor, depth), a target that is not among
     ``targets`` rolls up to its nearest ancestor that is.
     """
-    named = vocab.withColumn("_label", F.lower("label")).join(label_map(pairs).withColumnRenamed("label", "_label"), "_label", "left")
+    named = vocab.withColumn("_label", F.lower("label")).join(label_map(pairs, position=position).withColumnRenamed("label", "_label"), "_label", "left")
     if closure is not None:
         named = named.join(nearest(closure, targets).select(F.col("label").alias("target"), "ancestor"), "target", "left")
         named = named.withColumn("target", F.coalesce("ancestor", "target"))
@@ -151,6 +163,34 @@ def canonical_spelling(labels: DataFrame, label: str) -> DataFrame:
     return spelled.withColumn("canonical", F.first(label).over(order))
 
 
+def dense_ids(ids: DataFrame, table: DataFrame, key: str, value: str, default: int = 0) -> DataFrame:
+    """Rows of ``ids`` with the value of their key in a lookup table; the default for keys outside it."""
+    return ids.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def wide_annotations(rows: DataFrame, names: DataFrame, required: str, others: Sequence[str]) -> DataFrame:
+    """Annotator columns of label ids as columns of label names.
+
+    ``names`` (id, name) is the label map, a dimension table. Rows whose ``required``
+    annotator has no known label drop out; the other annotators are null where
+    they gave none, gave an unknown one, or have no column.
+    """
+    out = rows
+    for i, c in enumerate((required, *others)):
+        if c not in rows.columns:
+            out = out.withColumn(c, F.lit(None).cast("string"))
+            continue
+        look = names.select(F.col("id").alias(f"_{c}"), F.col("name").alias(f"_{c}_name"))
+        out = out.withColumn(f"_{c}", F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).try_cast("int"))
+        out = out.join(look, f"_{c}", "left" if i else "inner").withColumn(c, F.col(f"_{c}_name")).drop(f"_{c}", f"_{c}_name")
+    return out
+
+
+def in_order(choices: DataFrame, fixed: DataFrame, name: str, position: str) -> DataFrame:
+    """The entries of a fixed vocabulary that occur among the choices, in its order."""
+    return fixed.join(choices.select(name), name, "left_semi").orderBy(position)
+
+
 def pick_annotator(primary: Column, fallback: Column | None, primary_name: str, fallback_name: str) -> tuple[Column, Column]:
     """The primary label, else the fallback, and who gave it."""
     if fallback is None:

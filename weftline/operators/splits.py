@@ -13,7 +13,7 @@ def seeded_sample(rows: DataFrame, key: Column, n: int, seed: int = 0) -> DataFr
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), key).limit(n)
 
 
-def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
+def batches(rows: DataFrame, size: int) -> DataFrame:
     """Half-open ranges [start, end) of at most ``size`` positions that cover the rows."""
     n = rows.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
     starts = n.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(size).cast("bigint"))).alias("start"))

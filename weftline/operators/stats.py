@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import percent
+from weftline.functions.text import label_kind, percent
 
 
 def class_counts(points: DataFrame, classes: DataFrame, splits: Sequence[str]) -> DataFrame:
-    """Per class: annotations, images and the share of the split, for every split.
+    """Per class: its kind, and annotations, images and the share of the split, for every split.
 
     ``points`` has split, target_id and image_id; ``classes`` has target_id and
     target_name, and every class of it has a row. A split without points has
@@ -30,20 +30,27 @@ def class_counts(points: DataFrame, classes: DataFrame, splits: Sequence[str]) -
         ]
     )
     zeros = {f"{s}_{n}": 0 for s in splits for n in ("annotations", "images")} | {f"{s}_fraction": 0.0 for s in splits}
-    return classes.select("target_id", "target_name").join(wide, "target_id", "left").fillna(zeros)
+    named = classes.select("target_id", "target_name", label_kind(F.col("target_id"), F.col("target_name")).alias("class_kind"))
+    return named.join(wide, "target_id", "left").fillna(zeros)
+
+
+def source_of(rows: DataFrame) -> list[Column]:
+    """source_type and source_key of rows: a region by its name where there are regions, else a source by its id."""
+    kind, key = ("region", "region_name") if "region_id" in rows.columns else ("source", "source_id")
+    return [F.lit(kind).alias("source_type"), F.col(key).cast("string").alias("source_key")]
 
 
 def class_by_source(points: DataFrame, classes: DataFrame) -> DataFrame:
-    """Annotations per source, class and split; background and unknown classes drop out."""
+    """Annotations and images per source, class and split; background and unknown classes drop out."""
     named = points.where("target_id != 0").join(classes.select("target_id", "target_name"), "target_id")
-    return named.groupBy("source", "target_id", "target_name", "split").agg(F.count(F.lit(1)).alias("n_annotations"))
+    keys = [*source_of(points), "target_id", "target_name", "split"]
+    return named.groupBy(*keys).agg(F.count(F.lit(1)).alias("annotations"), F.count_distinct("image_id").alias("images"))
 
 
 def source_stats(images: DataFrame, points: DataFrame, splits: Sequence[str]) -> DataFrame:
     """Images and annotations per source and split, 0 where there are none; keys as text."""
-    key = F.col("source_id").cast("string").alias("source_id")
-    per = lambda df, name: df.groupBy(key).agg(*[F.count_if(F.col("split") == s).alias(f"{s}_{name}") for s in splits])
-    return per(images, "images").join(per(points, "annotations"), "source_id", "full").fillna(0)
+    per = lambda df, name: df.groupBy(*source_of(df)).agg(*[F.count_if(F.col("split") == s).alias(f"{s}_{name}") for s in splits])
+    return per(images, "images").join(per(points, "annotations"), ["source_type", "source_key"], "full").fillna(0)
 
 
 def per_image_summary(images: DataFrame, points: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -59,14 +66,14 @@ def per_image_summary(images: DataFrame, points: DataFrame, keys: Sequence[str]
 
 
 def top_shares(points: DataFrame, key: str, tops: Sequence[int] = (1, 3, 5)) -> DataFrame:
-    """Shares of the largest groups, and the effective number of groups exp(-sum p ln p)."""
+    """Shares of the largest groups, and the effective number of groups exp(-sum p ln p); all 0.0 without rows."""
     counts = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     # one row per class: a window over all of them is small
     ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.col(key))))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
     return ranked.withColumn("p", p).agg(
-        *[F.sum(F.when(F.col("rank") <= k, F.col("p"))).alias(f"top{k}_share") for k in tops],
-        F.exp(-F.sum(F.col("p") * F.log("p"))).alias("effective_classes"),
+        *[F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("p"))), F.lit(0.0)).alias(f"top{k}_share") for k in tops],
+        F.coalesce(F.exp(-F.sum(F.col("p") * F.log("p"))), F.lit(0.0)).alias("effective_classes"),
     )
 
 
@@ -145,6 +152,18 @@ def unmapped_share(counts: DataFrame, mapped: str, n: str) -> DataFrame:
     return counts.agg(missing.alias("unmapped"), F.sum(n).alias("total"), percent(missing, F.sum(n), 2).alias("pct"))
 
 
+def concept_counts(counts: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Per concept: the annotations of all classes that have it. ``counts`` has label and n, ``concepts`` label, concept and value (1: has it)."""
+    return concepts.where("value = 1").join(counts.select("label", "n"), "label").groupBy("concept").agg(F.sum("n").alias("n"))
+
+
+def failure_report(failures: DataFrame, points: DataFrame, label: Column) -> DataFrame:
+    """Load failures with the number and labels of the annotations that their image had; a failure without any is told apart."""
+    known = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("annotation_count"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("annotation_labels"))
+    out = failures.join(known, "image_id", "left").withColumn("missing_annotations", F.col("annotation_count").isNull())
+    return out.withColumns({"annotation_count": F.coalesce("annotation_count", F.lit(0)), "annotation_labels": F.coalesce("annotation_labels", F.lit(""))})
+
+
 def class_weights(rows: DataFrame, key: str, constant: float = 1.0) -> DataFrame:
     """1 / sqrt(n + constant), divided by their mean."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("w", 1 / F.sqrt(F.col("n") + constant))

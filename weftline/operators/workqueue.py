@@ -29,9 +29,9 @@ def unseen(items: DataFrame, seen: DataFrame, keys: Sequence[str] = KEY) -> Data
 
 
 def with_source_key(items: DataFrame, images: DataFrame, prefix: str = "data") -> DataFrame:
-    """Items that an image matches, once per image, with the stored key or the template's."""
+    """Items that an image matches, once per image, with the (least) stored key or the template's."""
     stored = F.col("s3_key") if "s3_key" in images.columns else F.lit(None).cast("string")
-    known = images.select(*KEY, stored.alias("s3_key")).dropDuplicates(list(KEY))
+    known = images.groupBy(*KEY).agg(F.min(stored).alias("s3_key"))
     key = F.coalesce("s3_key", image_key(prefix, F.col("source_id"), F.col("image_id")))
     return items.join(known, list(KEY)).withColumn("s3_key", key)
 

@@ -59,14 +59,15 @@ def concept_matrix(spark, sf_dir):
     return out.select("global_id", F.array_join(F.col("channels").cast("array<string>"), ",").alias("channels"))
 
 
-@query("""WITH c AS (SELECT DISTINCT upper(p_type) AS label, p_brand AS source, length(p_type) AS trait FROM part WHERE p_size < 10),
-l AS (SELECT DISTINCT p_type AS label, lower(p_brand) AS source FROM part WHERE p_size % 5 = 0)
+@query("""WITH c AS (SELECT DISTINCT upper(p_type) AS label, p_brand AS source, length(p_type) AS trait FROM part),
+l AS (SELECT DISTINCT p_type AS label, CASE WHEN p_size % 5 = 0 THEN 'brand#x' ELSE lower(p_brand) END AS source FROM part)
 SELECT lower(l.label) AS label, l.source, cast(length(l.label) * 100 + length(l.source) AS BIGINT) AS global_id, cast(trait AS INTEGER) AS trait
 FROM c RIGHT JOIN l ON lower(c.label) = lower(l.label) AND lower(c.source) = l.source""")
 def right_join_concepts(spark, sf_dir):
     p = Views(spark, sf_dir).part
-    concepts = p.where("p_size < 10").select(F.upper("p_type").alias("label"), F.col("p_brand").alias("source"), F.length("p_type").alias("trait")).distinct()
-    labels = p.where("p_size % 5 = 0").select(F.col("p_type").alias("label"), F.lower("p_brand").alias("source")).distinct()
+    concepts = p.select(F.upper("p_type").alias("label"), F.col("p_brand").alias("source"), F.length("p_type").alias("trait")).distinct()
+    named = F.when(F.col("p_size") % 5 == 0, "brand#x").otherwise(F.lower("p_brand"))
+    labels = p.select(F.col("p_type").alias("label"), named.alias("source")).distinct()
     labels = labels.withColumn("global_id", (F.length("label") * 100 + F.length("source")).cast("bigint"))
     return C.with_concepts(concepts, labels).select("label", "source", "global_id", "trait")
 

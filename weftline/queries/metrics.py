@@ -66,6 +66,47 @@ def best_so_far(spark, sf_dir):
     return M.best_so_far(rows, "user_id", "event_id", "value", M.DIRECTION["accuracy"])
 
 
+_EPOCHS = "(SELECT user_id % 40 AS s, event_id AS e, value AS v FROM events)"
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY e) AS k FROM {_EPOCHS}),
+w AS (SELECT s, k, v AS best, e AS best_epoch, 0 AS waited, NULL::BIGINT AS stop FROM h WHERE k = 1
+UNION ALL SELECT w.s, h.k, CASE WHEN h.v - best > 5.0 THEN h.v ELSE best END, CASE WHEN h.v - best > 5.0 THEN h.e ELSE best_epoch END,
+  CASE WHEN h.v - best > 5.0 THEN 0 ELSE waited + 1 END, CASE WHEN NOT (h.v - best > 5.0) AND waited + 1 >= 6 THEN h.e END FROM w JOIN h ON h.s = w.s AND h.k = w.k + 1 WHERE w.stop IS NULL)
+SELECT s, arg_max(best_epoch, k) AS best_epoch, arg_max(best, k) AS best, max(stop) AS stop_epoch FROM w GROUP BY s""")
+def early_stopping(spark, sf_dir):
+    rows = Views(spark, sf_dir).events.select((F.col("user_id") % 40).alias("s"), F.col("event_id").alias("e"), F.col("value").alias("v"))
+    return M.early_stopping(rows, "s", "e", "v", "max", patience=6, min_delta=5.0)
+
+
+@query("""SELECT user_id, event_id, round(avg(trunc(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running FROM events""")
+def running_loss(spark, sf_dir):
+    out = M.running_mean(Views(spark, sf_dir).events.select("user_id", "event_id", F.col("value").cast("int").alias("value")), "user_id", "event_id", "value")
+    return out.select("user_id", "event_id", rounded("running").alias("running"))
+
+
+@query("""WITH c AS (SELECT label, (vec_id + i) % 3 AS y, greatest(least(abs(x::DOUBLE), 1 - 1e-6), 1e-6) AS p FROM (SELECT vec_id, label, unnest(embedding[1:4]) AS x, unnest(generate_series(0, 3)) AS i FROM embeddings))
+SELECT label, round(coalesce(sum(-(CASE y WHEN 2 THEN 0.99 ELSE 0.01 END * ln(p) + CASE y WHEN 2 THEN 0.01 ELSE 0.99 END * ln(1 - p))) FILTER (WHERE y > 0) / (count(*) FILTER (WHERE y > 0) + 1.0), 0), 6) AS loss FROM c GROUP BY label""")
+def multi_hot_loss(spark, sf_dir):
+    rows = Views(spark, sf_dir).embeddings.select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x"))
+    y = (F.col("vec_id") + F.col("i")) % 3
+    return rows.groupBy("label").agg(rounded(M.multi_hot_loss(F.abs(F.col("x").cast("double")), y, 1.0)).alias("loss"))
+
+
+@query("""SELECT user_id, round(sum(CASE event_type WHEN 'purchase' THEN value ELSE value / 7 END), 6) AS concepts FROM events GROUP BY 1""")
+def summed_concept_loss(spark, sf_dir):
+    part = F.when(F.col("event_type") == "purchase", "multi_hot").otherwise(F.col("event_type"))
+    rows = Views(spark, sf_dir).events.select("user_id", part.alias("part"), "value")
+    return M.concept_loss(rows, ["user_id"], "part", "value", 7).select("user_id", rounded("concepts").alias("concepts"))
+
+
+@query("""SELECT user_id % 10 AS epoch, count(*) AS loads, count(*) FILTER (WHERE value > 95) AS failures, round(count(*) FILTER (WHERE value > 95) / count(*), 6) AS rate,
+count(*) FILTER (WHERE value > 95) / count(*) > 0.05 AS too_many FROM events GROUP BY 1""")
+def load_failure_rates(spark, sf_dir):
+    rows = Views(spark, sf_dir).events.select((F.col("user_id") % 10).alias("epoch"), (F.col("value") > 95).alias("failed"))
+    return M.failure_rates(rows, "epoch", "failed").withColumn("rate", rounded("rate"))
+
+
 @query("""SELECT vec_id, i - 1 AS position, round(x::DOUBLE, 6) AS value, CASE WHEN i <= 5 THEN 'name' || (i - 1) ELSE 'class_' || (i - 1) END AS name
 FROM (SELECT vec_id, unnest(embedding[1:8]) AS x, unnest(generate_series(1, 8)) AS i FROM embeddings)""")
 def metric_unpack(spark, sf_dir):

@@ -12,22 +12,21 @@ SPLITS = ("train", "val", "test")
 def _points(v):
     return v.ann.select(
         split_of(F.col("tenth")).alias("split"), F.col("label_id").alias("target_id"), "image_id", "source_id",
-        F.concat(F.lit("s"), F.col("source_id").cast("string")).alias("source"),
     )
 
 
 def _classes(v):
     return v.ann.select(F.col("label_id").alias("target_id")).distinct().select(
-        "target_id", F.when(F.col("target_id") == 0, "ignore").otherwise(F.concat(F.lit("class_"), F.col("target_id").cast("string"))).alias("target_name")
+        "target_id", F.when(F.col("target_id") == 0, "ignore").when(F.col("target_id") == 7, " Unknown").otherwise(F.concat(F.lit("class_"), F.col("target_id").cast("string"))).alias("target_name")
     )
 
 
 _PTS = f"{ANN}, pts AS (SELECT *, {SPLIT} AS split FROM ann)"
-_NAME = "CASE WHEN label_id = 0 THEN 'ignore' ELSE 'class_' || label_id END"
+_NAME = "CASE label_id WHEN 0 THEN 'ignore' WHEN 7 THEN ' Unknown' ELSE 'class_' || label_id END"
 
 
 @query(f"""WITH {_PTS}, t AS (SELECT split, count(*) AS total FROM pts GROUP BY split)
-SELECT label_id AS target_id, {_NAME} AS target_name, """ + ", ".join(
+SELECT label_id AS target_id, {_NAME} AS target_name, CASE WHEN label_id = 0 THEN 'background' WHEN label_id = 7 THEN 'unclassified' ELSE 'target' END AS class_kind, """ + ", ".join(
     f"count(*) FILTER (WHERE split = '{s}') AS {s}_annotations, count(DISTINCT image_id) FILTER (WHERE split = '{s}') AS {s}_images, "
     f"round(coalesce(count(*) FILTER (WHERE split = '{s}') / (SELECT total FROM t WHERE split = '{s}'), 0), 6) AS {s}_fraction"
     for s in SPLITS
@@ -38,7 +37,7 @@ def class_counts_by_split(spark, sf_dir):
     return out.withColumns({f"{s}_fraction": rounded(f"{s}_fraction") for s in SPLITS})
 
 
-@query(f"""WITH {_PTS} SELECT 's' || source_id AS source, label_id AS target_id, {_NAME} AS target_name, split, count(*) AS n_annotations
+@query(f"""WITH {_PTS} SELECT 'source' AS source_type, cast(source_id AS VARCHAR) AS source_key, label_id AS target_id, {_NAME} AS target_name, split, count(*) AS annotations, count(DISTINCT image_id) AS images
 FROM pts WHERE label_id <> 0 GROUP BY ALL""")
 def class_by_source(spark, sf_dir):
     v = Views(spark, sf_dir)
@@ -46,9 +45,9 @@ def class_by_source(spark, sf_dir):
 
 
 @query(f"""WITH {_PTS}, {IMG}, im AS (SELECT *, {SPLIT} AS split FROM img),
-a AS (SELECT cast(source_id AS VARCHAR) AS source_id, """ + ", ".join(f"count(*) FILTER (WHERE split = '{s}') AS {s}_annotations" for s in SPLITS) + """ FROM pts GROUP BY 1),
-b AS (SELECT cast(source_id AS VARCHAR) AS source_id, """ + ", ".join(f"count(*) FILTER (WHERE split = '{s}') AS {s}_images" for s in SPLITS) + """ FROM im GROUP BY 1)
-SELECT source_id, """ + ", ".join(f"coalesce({s}_{n}, 0) AS {s}_{n}" for n in ("images", "annotations") for s in SPLITS) + " FROM a FULL JOIN b USING (source_id)")
+a AS (SELECT cast(source_id AS VARCHAR) AS source_key, """ + ", ".join(f"count(*) FILTER (WHERE split = '{s}') AS {s}_annotations" for s in SPLITS) + """ FROM pts GROUP BY 1),
+b AS (SELECT cast(source_id AS VARCHAR) AS source_key, """ + ", ".join(f"count(*) FILTER (WHERE split = '{s}') AS {s}_images" for s in SPLITS) + """ FROM im GROUP BY 1)
+SELECT 'source' AS source_type, source_key, """ + ", ".join(f"coalesce({s}_{n}, 0) AS {s}_{n}" for n in ("images", "annotations") for s in SPLITS) + " FROM a FULL JOIN b USING (source_key)")
 def source_stats_by_split(spark, sf_dir):
     v = Views(spark, sf_dir)
     images = v.img.withColumn("split", split_of(F.col("tenth")))
@@ -74,6 +73,39 @@ def topk_share_entropy(spark, sf_dir):
     return out.select(*[rounded(c).alias(c) for c in out.columns])
 
 
+@query("SELECT 0.0::DOUBLE AS top1_share, 0.0::DOUBLE AS top3_share, 0.0::DOUBLE AS top5_share, 0.0::DOUBLE AS effective_classes")
+def topk_share_of_nothing(spark, sf_dir):
+    return S.top_shares(_points(Views(spark, sf_dir)).where("target_id < 0"), "target_id")
+
+
+@query("""SELECT n_regionkey AS region_id, r_name AS region_name, 'region' AS source_type, count(*) AS annotations, count(DISTINCT c_custkey) AS images FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
+def regions_as_sources(spark, sf_dir):
+    """Rows with regions count by region name."""
+    v = Views(spark, sf_dir)
+    rows = v.customer.join(v.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(v.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.select(F.col("n_regionkey").alias("region_id"), F.col("r_name").alias("region_name"), F.col("c_custkey").cast("string").alias("image_id"), F.lit(1).alias("target_id"), F.lit("train").alias("split"))
+    names = rows.select("region_id", "region_name").distinct()
+    classes = spark.sql("SELECT 1 AS target_id, 'x' AS target_name")
+    out = S.class_by_source(rows, classes).join(names, F.col("source_key") == F.col("region_name"))
+    return out.select("region_id", "region_name", "source_type", "annotations", "images")
+
+
+@query(f"""WITH {ANN}, c AS (SELECT label_id AS label, count(*) AS n FROM ann GROUP BY 1)
+SELECT 'even' AS concept, sum(n)::BIGINT AS n FROM c WHERE label % 2 = 0 UNION ALL SELECT 'third', sum(n)::BIGINT FROM c WHERE label % 3 = 0""")
+def concept_counts(spark, sf_dir):
+    counts = Views(spark, sf_dir).ann.groupBy(F.col("label_id").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    has = lambda name, k: counts.select("label", F.lit(name).alias("concept"), (F.col("label") % k == 0).cast("int").alias("value"))
+    return S.concept_counts(counts, has("even", 2).union(has("third", 3)))
+
+
+@query(f"""WITH {ANN}, {IMG} SELECT image_id, 'load' AS error_type, coalesce(n, 0) AS annotation_count, coalesce(labels, '') AS annotation_labels, n IS NULL AS missing_annotations
+FROM img LEFT JOIN (SELECT image_id, count(*) AS n, string_agg(DISTINCT 'L' || label_id, ',' ORDER BY 'L' || label_id) AS labels FROM ann WHERE label_id > 20 GROUP BY 1) USING (image_id) WHERE width IS NULL""")
+def failure_report(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    failed = v.img.where("width is null").select("image_id", F.lit("load").alias("error_type"))
+    return S.failure_report(failed, v.ann.where("label_id > 20"), F.concat(F.lit("L"), F.col("label_id").cast("string")))
+
+
 @query(f"WITH {ANN} SELECT label_id, count(*) AS n FROM ann GROUP BY 1 ORDER BY n DESC, label_id")
 def value_counts_tiebreak(spark, sf_dir):
     return S.value_counts(Views(spark, sf_dir).ann, "label_id")
