@@ -141,7 +141,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text; null for null."""
-    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -166,35 +166,48 @@ def _signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, key binary, size bigint, bands array<bigint>")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of text keys whose bags overlap enough, by the texts themselves."""
+#: Texts that are held against one text in one run of rows.
+RUN = 256
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of text keys whose bags overlap enough, by the texts themselves.
+
+    The pairs of the text that is in most of them form runs of about ``RUN``
+    rows, which hold that text once; its bag is made once for all of them. So a
+    text that leads a large group is neither sent along with each pair nor
+    does all of its group meet in one task.
+    """
     import pyarrow as pa
 
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "pair-ends")
+    texts = stored(_texts_of(docs, ends), "texts")
     for c in ("a", "b"):
-        sizes = classes.select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"))
-        pairs = pairs.join(sizes, c)
-    near = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")
-    pairs = stored(pairs.where(near).select("a", "b"), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = stored(_texts_of(docs, needed), "texts")
-    for c in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("key").alias(c), F.col("text").alias(f"{c}_text")), c)
+        pairs = pairs.join(ends.select(F.col("key").alias(c), F.col("n").alias(f"{c}_n")), c)
+    leads = F.col("a_n") >= F.col("b_n")
+    pairs = pairs.select(
+        F.when(leads, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(leads, F.col("b")).otherwise(F.col("a")).alias("key"),
+        F.greatest("a_n", "b_n").alias("n"),
+    )
+    pairs = stored(pairs.withColumn("run", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / RUN))).drop("n"), "runs")
+    heads = pairs.select("lead", "run", F.col("lead").alias("key"), F.lit(0).alias("place")).distinct()
+    rows = heads.unionByName(pairs.withColumn("place", F.lit(1))).join(texts, "key")
+    rows = rows.repartition("lead", "run").sortWithinPartitions("lead", "run", "place").select("lead", "key", "place", "text")
 
     def run(batches):
-        last: dict = {}
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        head = None
+        for batch in slices(batches):
             keep = []
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                for side, k, c in ((0, x, "a_text"), (1, y, "b_text")):
-                    if last.get(side, (None,))[0] != k:
-                        text = batch.column(c)[i].as_py()
-                        last[side] = k, np.unique(shingles(text.encode()), return_counts=True)
-                keep.append(overlap(last[0][1], last[1][1]) >= similarity)
-            kept = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
+            for place, text in zip(batch.column("place").to_pylist(), utf8(batch.column("text")), strict=True):
+                bag = np.unique(shingles(text), return_counts=True)
+                if place == 0:
+                    head = bag
+                keep.append(place == 1 and overlap(head, bag) >= similarity)
+            kept = pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("key")], names=["lead", "key"])
             yield kept.filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    linked = rows.mapInArrow(run, "lead binary, key binary")
+    return linked.select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -204,7 +217,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _odd_shares(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Per text key (id): size, common (shingles that some other of these texts has) and oddness.
+    """Per text key (id): common, the number of shingles that some other of these texts has too.
 
     No text shares more than its common shingles with another of them, which
     bounds the similarity of two texts from above.
@@ -220,14 +233,16 @@ def _odd_shares(docs: DataFrame, ids: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "shingles", "counts"])
 
-    texts = _texts_of(docs, ids.withColumnRenamed("id", "key"))
+    texts = _texts_of(docs, stored(ids.withColumnRenamed("id", "key"), "open"))
     bags = stored(texts.mapInArrow(run, "id binary, size bigint, shingles array<bigint>, counts array<bigint>"), "bags")
-    rows = bags.select(F.xxhash64("id").alias("who"), F.inline(F.arrays_zip("shingles", "counts")))
-    alone = rows.groupBy("shingles").agg(F.count(F.lit(1)).alias("n"), F.max("who").alias("who"), F.max("counts").alias("c")).where("n = 1")
-    odd = alone.groupBy("who").agg(F.sum("c").alias("odd"))
-    out = bags.select("id", "size", F.xxhash64("id").alias("who")).join(odd, "who", "left")
-    common = F.col("size") - F.coalesce("odd", F.lit(0))
-    return out.select("id", (1 - common / F.col("size")).alias("oddness"), "size", common.alias("common"))
+    rows = bags.select("id", F.inline(F.arrays_zip("shingles", "counts")))
+    alone = rows.groupBy("shingles").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id"), F.max("counts").alias("c")).where("n = 1")
+    odd = alone.groupBy("id").agg(F.sum("c").alias("odd"))
+    return bags.join(odd, "id", "left").select("id", (F.col("size") - F.coalesce("odd", F.lit(0))).alias("common"))
+
+
+def _sized(similarity: float) -> Column:
+    return F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6
 
 
 def _bounded(similarity: float) -> Column:
@@ -244,12 +259,13 @@ def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
             worded.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), F.first("bands").alias("bands")),
             "classes",
         )
-        buckets = classes.select(F.col("key").alias("id"), F.explode("bands").alias("bucket")).select("bucket", "id")
+        buckets = classes.select(F.col("key").alias("id"), "size", F.explode("bands").alias("bucket")).select("bucket", "id", "size")
         found = link_buckets(
             buckets,
-            lambda pairs: _verified(pairs, classes, docs, similarity),
-            lambda: _bounded(similarity),
+            lambda pairs: _verified(pairs, docs, similarity),
+            lambda: _sized(similarity),
             lambda ids: _odd_shares(docs, ids),
+            lambda: _bounded(similarity),
         )
         named = classes.select("key", "first_doc").join(found.withColumnRenamed("id", "key"), "key", "left")
         named = named.select("key", "first_doc", F.coalesce("component", "key").alias("component"))

@@ -200,7 +200,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
 
 def _bad_texts(probe: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
     keyed = probe.groupBy(F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("_weftline_key")).agg(F.first("text").alias("text"))
-    ids = keyed.select("_weftline_key", F.xxhash64("_weftline_key").alias("doc_id"), "text")
-    ids = stored(ids, "decontaminate-texts")
+    # numbered once and stored, so that a number names one text
+    ids = stored(keyed.withColumn("doc_id", F.monotonically_increasing_id()), "decontaminate-texts")
     found = find_benchmark(ids, benchmark, block_bytes).where(is_contaminated(F.col("n_words"), F.col("n_hit")))
     return ids.join(found.select("doc_id"), "doc_id", "left_semi").select("_weftline_key")

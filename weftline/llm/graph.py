@@ -55,19 +55,21 @@ SLOTS = 1 << 20
 
 
 def maybe(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key may be among the ``ids`` (column ``key``), dropped where they lie.
+    """Rows whose key may be among the distinct ``ids`` (column ``key``), dropped where they lie.
 
-    Keeps all rows whose key is, and few others while there are far fewer ids
-    than ``SLOTS``. It broadcasts ``SLOTS`` small numbers at most, whatever the
-    number of ids.
+    Keeps all rows whose key is, and few others. It broadcasts half of ``SLOTS``
+    small numbers at most; with more ids it would drop little, so all rows are kept.
+    ``ids`` is a stored table, which is counted first.
     """
+    if ids.count() > SLOTS // 2:
+        return rows
     slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
     some = ids.select(slot.alias("_slot")).distinct()
     return rows.withColumn("_slot", slot).join(F.broadcast(some), "_slot", "left_semi").drop("_slot")
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among the distinct ``ids``: a semi-join that shuffles few others."""
+    """Rows whose key is among the distinct ``ids`` of a stored table: a semi-join that shuffles few others."""
     return maybe(rows, ids, key).join(ids.select(key), key, "left_semi")
 
 
@@ -83,8 +85,8 @@ def _relabelled(found: DataFrame, links: DataFrame) -> DataFrame:
     return stored(ids.join(joined, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "relabelled")
 
 
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+#: Rounds in which each id is held against one leader, before all other pairs are looked at.
+ROUNDS = 4
 
 
 def link_buckets(
@@ -92,62 +94,66 @@ def link_buckets(
     verify: Callable[[DataFrame], DataFrame],
     possible: Callable[[], Column],
     traits: Callable[[DataFrame], DataFrame] | None = None,
+    bounded: Callable[[], Column] | None = None,
 ) -> DataFrame:
     """Components of the verified links among ids that share a bucket.
 
     ``buckets`` has bucket and id; ``verify`` turns candidate pairs (a, b)
-    into the pairs that are links. First each id is held against the leader of
-    its buckets, the id that shares most buckets with others, so a group of
-    near copies costs a pair per member, not a pair per pair. Pairs inside one
-    component cannot change it; every other pair that shares a bucket is looked
-    at afterwards, in buckets that more than one component shares.
+    into the pairs that are links. In each round every bucket has a leader and
+    each id is held against one of them, the foremost leader of its buckets that
+    is in another component; a group of near copies, whatever its size and
+    however many buckets it shares, so costs a pair per member and round. In the
+    first round the ids that share most lead, then ids by chance. Rounds end
+    when one links nothing. Pairs inside one component cannot change
+    it; every other pair that shares a bucket is looked at afterwards, in the
+    buckets that more than one component shares.
 
     ``possible`` is a condition on further columns of both ids (a_ and b_
     before the names) that every link meets and few other pairs do, so that few
-    pairs leave the joins. The columns are those of ``buckets``, or else
-    ``traits`` gives them for a table of ids once the leaders are done, among
-    them ``oddness``; the least odd id of each bucket then leads once more.
+    pairs leave the joins. The columns are those of ``buckets``; ``traits`` may
+    give more of them for the ids that are left for the last step, where pairs
+    must meet the condition ``bounded`` on them too.
     """
     sizes = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
     shared = stored(maybe(buckets, sizes, "bucket").join(sizes, "bucket"), "buckets")
     carried = [c for c in buckets.columns if c not in ("bucket", "id")]
-    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
-
-    def led(rows: DataFrame, by: Column, columns: list[str]) -> DataFrame:
-        top = rows.groupBy("bucket").agg(F.max(F.struct(by.alias("by"), "id", *columns)).alias("top"))
-        return top.select("bucket", *[F.col("top")[c].alias(f"a_{c}") for c in ("id", *columns)])
-
-    def members(rows: DataFrame, columns: list[str]) -> DataFrame:
-        return rows.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("id", *columns)])
-
-    star = led(shared.join(degree, "id"), F.col("degree"), carried).join(members(shared, carried), "bucket")
-    star = star.where((F.col("a_id") != F.col("b_id")) & (possible() if carried else F.lit(True)))
-    tested = stored(star.select(*_pair("a_id", "b_id")).distinct(), "star")
-    found = components(verify(tested))
-    known = None
-    for last in (True,) if traits is None else (False, True):
+    degree = stored(shared.groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
+    spark = buckets.sparkSession
+    kind = buckets.schema["id"].dataType.simpleString()
+    found = spark.createDataFrame([], f"id {kind}, component {kind}")
+    tested = spark.createDataFrame([], f"a {kind}, b {kind}")
+    rows = shared.withColumn("component", F.col("id"))
+    for turn in range(ROUNDS):
+        rows = rows.join(degree, "id") if turn == 0 else rows.withColumn("degree", F.xxhash64(F.lit(turn), "id"))
+        columns = [*carried, "component"]
+        ahead = rows.groupBy("bucket").agg(F.max(F.struct("degree", "id", *columns)).alias("top"))
+        ahead = ahead.select("bucket", F.col("top.degree").alias("rank"), *[F.col(f"top.{c}").alias(f"a_{c}") for c in ("id", *columns)])
+        members = rows.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("id", *columns)])
+        met = ahead.join(members, "bucket").where((F.col("a_component") != F.col("b_component")) & possible())
+        # the foremost of its leaders, one pair for each id
+        best = met.groupBy("b_id").agg(F.max(F.struct("rank", "a_id")).alias("lead"))
+        pairs = best.select(F.least("b_id", "lead.a_id").alias("a"), F.greatest("b_id", "lead.a_id").alias("b")).distinct()
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "led")
+        links = stored(verify(pairs), "links") if pairs.limit(1).count() else pairs
+        tested = tested.unionByName(pairs)
+        new = links.limit(1).count()
+        if new:
+            found = _relabelled(found, links)
         rows = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
         rows = stored(rows.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-        if not rows.limit(1).count():
-            return found
-        if traits is not None:
-            if known is None:
-                known = stored(traits(rows.select("id").distinct()), "traits")
-            rows = rows.join(known, "id")
-        columns = [c for c in rows.columns if c not in ("bucket", "id", "n")]
-        others = members(rows, columns).withColumnRenamed("bucket", "bucket_")
-        if last:
-            ahead = rows.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", *columns)])
-            once = F.col("a_id") < F.col("b_id")
-        else:
-            ahead, once = led(rows, -F.col("oddness"), columns), F.lit(True)
-        on = (F.col("bucket") == F.col("bucket_")) & (F.col("a_component") != F.col("b_component")) & once & possible()
-        pairs = ahead.join(others, on).select(*_pair("a_id", "b_id")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "cross")
-        if pairs.limit(1).count():
-            links = stored(verify(pairs), "links")
-            tested = tested.unionByName(pairs)
-            if links.limit(1).count():
-                found = _relabelled(found, links)
-    return found
+        if not new or not rows.limit(1).count():
+            break
+    if not rows.limit(1).count():
+        return found
+    if traits is not None:
+        rows = rows.join(stored(traits(rows.select("id").distinct()), "traits"), "id")
+    columns = [c for c in rows.columns if c not in ("bucket", "id", "n")]
+    one, other = (rows.select(F.col("bucket").alias(b), *[F.col(c).alias(f"{x}_{c}") for c in ("id", *columns)]) for b, x in (("bucket", "a"), ("bucket_", "b")))
+    on = (F.col("bucket") == F.col("bucket_")) & (F.col("a_component") != F.col("b_component")) & (F.col("a_id") < F.col("b_id")) & possible()
+    if bounded is not None:
+        on = on & bounded()
+    pairs = one.join(other, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "cross")
+    links = stored(verify(pairs), "links") if pairs.limit(1).count() else pairs
+    return _relabelled(found, links) if links.limit(1).count() else found

@@ -81,24 +81,31 @@ def size_of(text: Column) -> Column:
 
 def crc_of(text: Column) -> Column:
     """CRC-32 of the UTF-8 text; null counts as empty."""
-    return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def document_dims(bits: int = BITS) -> list[Column]:
+    """The dimensions of documents: size, source and lang."""
+    return [by_log(size_of(F.col("text")), bits), by_hash(F.col("source"), bits), by_hash(F.col("lang"), bits)]
 
 
 def shard_rows(docs: DataFrame, shards: int, dims: Sequence[Column] | None = None, bits: int = BITS) -> DataFrame:
     """Put rows into ``shards`` runs of the Hilbert order, counts at most one apart.
 
-    One row per row of ``docs``: doc_id, size, text_crc32, curve (the cell's
-    index), shard and slot (gapless from 0 in each shard). ``dims`` are
-    already quantised columns, by default of the size, source and lang. Nulls
+    One row per row of ``docs``: doc_id, size, text_crc32, cells (the quantised
+    dimensions), curve (the cell's index), shard and slot (gapless from 0 in each
+    shard). ``dims`` are already quantised columns, by default of the size,
+    source and lang (:func:`document_dims`). Nulls
     fall into cell 0 and null ids sort first; repeated rows each get a slot of
     their own; an empty table has no rows. Other columns are ignored.
     """
     if dims is None:
-        dims = [by_log(size_of(F.col("text")), bits), by_hash(F.col("source"), bits), by_hash(F.col("lang"), bits)]
+        dims = document_dims(bits)
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         size_of(F.col("text")).alias("size"),
         crc_of(F.col("text")).alias("text_crc32"),
+        F.array(*[F.coalesce(d, F.lit(0)).cast("int") for d in dims]).alias("cells"),
         hilbert(dims, bits).alias("curve"),
     )
     rows = stored(rows, "hilbert")
@@ -126,15 +133,33 @@ def shard_rows(docs: DataFrame, shards: int, dims: Sequence[Column] | None = Non
     )
     first = F.when(rank < edge, F.col("shard") * (base + 1)).otherwise(edge + (F.col("shard") - more) * base)
     return ranked.withColumn("shard", shard.cast("int")).select(
-        "doc_id", "size", "text_crc32", "curve", "shard", (rank - first).cast("bigint").alias("slot")
+        "doc_id", "size", "text_crc32", "cells", "curve", "shard", (rank - first).cast("bigint").alias("slot")
     )
 
 
 def manifest(sharded: DataFrame) -> DataFrame:
-    """What each shard spans: rows, bytes and its run of the curve, for pruning files."""
-    return sharded.groupBy("shard").agg(
+    """What each shard spans: rows, bytes, its run of the curve, and the least and greatest cell of every dimension (low, high)."""
+    spans = sharded.select("shard", "size", "curve", F.posexplode("cells").alias("dim", "cell"))
+    each = spans.groupBy("shard", "dim").agg(F.min("cell").alias("low"), F.max("cell").alias("high"))
+    bounds = F.array_sort(F.collect_list(F.struct("dim", "low", "high")))
+    whole = sharded.groupBy("shard").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("size").alias("bytes"),
         F.min("curve").alias("first_curve"),
         F.max("curve").alias("last_curve"),
     )
+    each = each.groupBy("shard").agg(bounds.alias("bounds"))
+    return whole.join(each, "shard").select(*whole.columns, F.col("bounds.low").alias("low"), F.col("bounds.high").alias("high"))
+
+
+def shards_to_read(spans: DataFrame, wanted: dict[int, tuple[Column | int, Column | int]]) -> DataFrame:
+    """The shards of a :func:`manifest` that a filter can find rows in; all others may be skipped.
+
+    ``wanted`` has the least and the greatest cell that the filter lets through
+    (numbers, or columns such as ``by_hash(lit("web"))``) by dimension.
+    """
+    may = F.lit(True)
+    for dim, (least, most) in wanted.items():
+        least, most = (x if isinstance(x, Column) else F.lit(x) for x in (least, most))
+        may = may & (F.col("low")[dim] <= most) & (F.col("high")[dim] >= least)
+    return spans.where(may).select("shard")

@@ -2,14 +2,16 @@
 
 On a bounded sample, unit vectors are centred, turned to their principal axes
 and rotated so that signs lose as little as possible (iterative quantisation);
-two or more rotations from different starts give a code of 128 balanced bits.
-The code is cut into eight parts of 16 bits, a table each. Every distinct
-vector is stored once in each table and looks up its own part and the 16 that
-differ in one bit, which finds every pair within 15 bits and most of those
-beyond; a pair is taken from the first table that has it, so none is repeated.
-Pairs over ``RADIUS`` bits apart go before their vectors are fetched (two
-vectors of cosine 0.93 differ in about 15), and the original vectors decide,
-by cosine in double precision.
+rotations from different starts give as many balanced bits as are needed. The
+code is cut into parts, a table each. A part is so wide that there are four
+times as many buckets as vectors, so that chance meetings of a vector do not
+grow with the table, and there are so many tables that a pair at the threshold
+is missed in ``MISS`` of the cases (:func:`plan`). Every distinct vector is
+stored once in each table and looks up its own part and those that differ in
+one bit; a pair is taken from the first table that has it, so none is repeated.
+Pairs whose codes are eight standard deviations farther apart than a pair at
+the threshold go before their vectors are fetched, and the original vectors
+decide, by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -22,12 +24,24 @@ from weftline.plans.scratch import stored, temporary
 
 from .graph import components
 
-SAMPLE, ITERATIONS, COSINE = 4096, 40, 0.93
-WORDS, PART, RADIUS = 2, 16, 44
-TABLES = WORDS * 64 // PART
+SAMPLE, ITERATIONS, COSINE, MISS = 4096, 40, 0.93, 0.01
 
 
-def rotations(sample: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def differing(least: float, centre: np.ndarray) -> float:
+    """The share of bits that differ between codes of vectors at this cosine, which lie about as far from the centre as most."""
+    apart = (1 - least) / max(1 - float(centre @ centre), 1e-6)
+    return float(np.clip(np.arccos(np.clip(1 - apart, -1, 1)) / np.pi, 1e-6, 0.5))
+
+
+def plan(rows: int, share: float) -> tuple[int, int, int]:
+    """Bits of a part, tables, and 64-bit words of the code, for so many vectors and this share of differing bits."""
+    part = int(min(32, max(16, np.ceil(np.log2(4 * max(rows, 1))))))
+    met = (1 - share) ** part + part * share * (1 - share) ** (part - 1)
+    tables = int(np.ceil(np.log(MISS) / np.log1p(-min(met, 0.999))))
+    return part, tables, -(-tables // (64 // part))
+
+
+def rotations(sample: np.ndarray, words: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Centre and projection (dimensions x bits) learned from unit vectors."""
     rng = np.random.default_rng(seed)
     centre = sample.mean(axis=0)
@@ -36,13 +50,13 @@ def rotations(sample: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray
     axes = axes[:, ::-1][:, :64]
     v = x @ axes
     c, made = axes.shape[1], []
-    while sum(m.shape[1] for m in made) < WORDS * 64:
+    while sum(m.shape[1] for m in made) < words * 64:
         r = np.linalg.qr(rng.normal(size=(c, c)))[0]
         for _ in range(ITERATIONS):
             left, _, right = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (left @ right).T
         made.append(axes @ r)
-    return centre, np.concatenate(made, axis=1)[:, : WORDS * 64]
+    return centre, np.concatenate(made, axis=1)[:, : words * 64]
 
 
 def encode(x: np.ndarray, centre: np.ndarray, projection: np.ndarray) -> np.ndarray:
@@ -75,45 +89,56 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
 
 
-def _coded(classes: DataFrame, width: int) -> DataFrame:
-    import pyarrow as pa
-
-    sample = classes.select("key", "v").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
+def _sample(classes: DataFrame, rows: int, width: int) -> np.ndarray:
+    """Up to ``SAMPLE`` unit vectors, chosen by hash."""
+    few = classes.select("key", "v")
+    if rows > 2 * SAMPLE:  # about twice the sample, however many splits there are
+        few = few.where(F.pmod(F.xxhash64("key"), F.lit(rows // (2 * SAMPLE))) == 0)
+    sample = few.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
     x = np.zeros((len(sample), width))
     for i, r in enumerate(sample):
         x[i, : len(r.v)] = r.v
     x /= np.abs(x).max(axis=1, keepdims=True)
-    centre, projection = rotations(x / np.linalg.norm(x, axis=1, keepdims=True))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _coded(classes: DataFrame, width: int, centre: np.ndarray, projection: np.ndarray) -> DataFrame:
+    import pyarrow as pa
+
+    count = projection.shape[1] // 64
 
     def run(batches):
         for batch in batches:
             m = _matrix(batch.column("v"), width)
             code = encode(m / np.abs(m).max(axis=1, keepdims=True), centre, projection)
             columns = [batch.column("key"), batch.column("within"), *(pa.array(c) for c in code.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "within", *(f"c{i}" for i in range(WORDS))])
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "within", *(f"c{i}" for i in range(count))])
 
-    words = ", ".join(f"c{i} bigint" for i in range(WORDS))
+    words = ", ".join(f"c{i} bigint" for i in range(count))
     return classes.select("key", "within", "v").mapInArrow(run, f"key binary, within bigint, {words}")
 
 
-def _part(words: list[Column], table: int) -> Column:
-    per = 64 // PART
-    return F.shiftrightunsigned(words[table // per], PART * (table % per)).bitwiseAND(F.lit((1 << PART) - 1))
+def _part(words: list[Column], table: int, part: int) -> Column:
+    per = 64 // part
+    return F.shiftrightunsigned(words[table // per], part * (table % per)).bitwiseAND(F.lit((1 << part) - 1))
 
 
-def _candidates(codes: DataFrame, radius: int) -> DataFrame:
+def _candidates(codes: DataFrame, part: int, tables: int, count: int, radius: int) -> DataFrame:
     """Pairs (a, b) of keys that some table brings together, once each, within the radius."""
-    words = [F.col(f"c{i}") for i in range(WORDS)]
-    near = [0, *(1 << b for b in range(PART))]
-    bucket = lambda t, part: F.struct(F.lit(t).alias("t"), F.xxhash64("within", F.lit(t), part).alias("bucket"))
-    stored_at = F.array(*[bucket(t, _part(words, t)) for t in range(TABLES)])
-    looks_at = F.array(*[bucket(t, _part(words, t).bitwiseXOR(F.lit(m))) for t in range(TABLES) for m in near])
+    words = [F.col(f"c{i}") for i in range(count)]
+    near = [0, *(1 << b for b in range(part))]
+    bucket = lambda t, at: F.struct(F.lit(t).alias("t"), F.xxhash64("within", F.lit(t), at).alias("bucket"))
+    stored_at = F.array(*[bucket(t, _part(words, t, part)) for t in range(tables)])
     index = codes.select(F.col("key").alias("b"), F.inline(stored_at), *[w.alias(f"b{i}") for i, w in enumerate(words)])
-    probe = codes.select(F.col("key").alias("a"), F.inline(looks_at), *[w.alias(f"a{i}") for i, w in enumerate(words)])
+    # the differing bit is exploded last, so that the plan stays small with many tables
+    looks_at = F.array(*[F.struct(F.lit(t).alias("t"), _part(words, t, part).alias("at")) for t in range(tables)])
+    probe = codes.select(F.col("key").alias("a"), "within", F.inline(looks_at), *[w.alias(f"a{i}") for i, w in enumerate(words)])
+    probe = probe.withColumn("flip", F.explode(F.array(*[F.lit(x).cast("bigint") for x in near])))
+    probe = probe.withColumn("bucket", F.xxhash64("within", "t", F.col("at").bitwiseXOR(F.col("flip")))).drop("within", "at", "flip")
     index = index.withColumnRenamed("t", "t_b").withColumnRenamed("bucket", "bucket_b")
-    apart = [F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")) for i in range(WORDS)]
+    apart = [F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")) for i in range(count)]
     distance = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
-    earlier = [(F.col("t") > t) & (F.bit_count(_part(apart, t)) <= 1) for t in range(TABLES - 1)]
+    earlier = [(F.col("t") > t) & (F.bit_count(_part(apart, t, part)) <= 1) for t in range(tables - 1)]
     on = (F.col("bucket") == F.col("bucket_b")) & (F.col("t") == F.col("t_b")) & (F.col("a") < F.col("b")) & (distance <= radius)
     for e in earlier:
         on = on & ~e
@@ -136,7 +161,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, width: int, least: float) -> D
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def similar_vectors(vectors: DataFrame, least: float = COSINE, radius: int = RADIUS) -> DataFrame:
+def similar_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id and kept.
 
     Vectors are compared where their labels are equal and not null and they
@@ -161,8 +186,14 @@ def similar_vectors(vectors: DataFrame, least: float = COSINE, radius: int = RAD
         width = classes.agg(F.max(F.size("v"))).first()[0]
         alone = rows.where("key is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
         if width:
-            codes = stored(_coded(classes, width), "codes")
-            pairs = stored(_candidates(codes, radius), "code-pairs")
+            count = classes.count()
+            sample = _sample(classes, count, width)
+            share = differing(least, sample.mean(axis=0))
+            part, tables, words = plan(count, share)
+            bits = words * 64
+            radius = int(bits * share + 8 * (bits * share * (1 - share)) ** 0.5) + 1
+            codes = stored(_coded(classes, width, *rotations(sample, words)), "codes")
+            pairs = stored(_candidates(codes, part, tables, words, radius), "code-pairs")
             links = stored(_linked(pairs, classes, width, least), "vector-links")
             sizes = classes.select("key", "n")
             both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

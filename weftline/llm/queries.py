@@ -53,13 +53,24 @@ def op5_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
-        spark.createDataFrame(
-            [(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"
+        spark.range(2).select(
+            F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text")
         )
     )
-    # the log: each row is a message event of its own, also where rows share a turn
+    # the log: each row is a message of its own, also where rows share a turn. Answers are streamed in
+    # deltas after an attempt that is regenerated, and other texts are edited into what they are
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    log = rows.withColumn("seq", place).select("conv_id", "seq", F.col("seq").alias("message"), F.lit("message").alias("kind"), "role", "text")
+    half = F.length("text") / 2
+    event = lambda nth, kind, role, text: F.struct(F.lit(nth).alias("nth"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    head, tail = F.substr("text", F.lit(1), F.floor(half).cast("int")), F.substr("text", (F.floor(half) + 1).cast("int"))
+    streamed = F.array(
+        event(0, "message", F.col("role"), F.lit("")), event(1, "delta", none, F.lit("a first attempt")), event(2, "regenerate", none, none),
+        event(3, "delta", none, head), event(4, "delta", none, tail),
+    )
+    edited = F.array(event(0, "message", F.col("role"), F.lit("a draft")), event(1, "edit", none, F.col("text")))
+    events = rows.withColumn("message", place).withColumn("event", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)))
+    log = events.select("conv_id", (F.col("message") * 8 + F.col("event.nth")).alias("seq"), "message", "event.kind", "event.role", "event.text")
     rendered = chatformat.render(chatformat.fold_events(log))
     back = chatformat.read_back(rendered)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

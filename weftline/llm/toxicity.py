@@ -13,7 +13,8 @@ windows that the network finds most toxic in each document (and random ones of
 clean documents), which tells it apart what makes a document toxic. Embeddings
 start from the log odds of words and n-grams in the labelled documents. It
 fits on a bounded sample: ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled rows of
-at most ``TRAIN_CHARS`` characters, chosen by a hash of their id.
+at most ``TRAIN_CHARS`` characters, chosen by a hash of their id, in one task on
+an executor; the driver gets the network alone.
 
 Scoring is one pass with no shuffle. What a word adds to the gates is computed
 once per distinct word and kept in a bounded table per worker, so a step costs
@@ -22,6 +23,7 @@ one gather and one small matrix product for thousands of windows.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
 import numpy as np
@@ -415,8 +417,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     text = text.where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
     # at most TRAIN_TOXIC + TRAIN_CLEAN ids: a bounded broadcast
     got = text.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(TRAIN_TOXIC + TRAIN_CLEAN)
-    sample = sorted((r.doc_id, r.text, r.toxic) for r in got.collect())
-    return train([t.encode() for _, t, _ in sample], [y for _, _, y in sample])
+    return _trained(got.select("doc_id", "text", "toxic"))
+
+
+#: Bytes of a row of the network on its way to the driver.
+ROW_BYTES = 1 << 20
+
+
+def _trained(sample: DataFrame) -> Network:
+    """Train in one task on the bounded sample (doc_id, text, toxic); only the network, some megabytes, comes to the driver."""
+    import pyarrow as pa
+
+    def run(batches):
+        rows = [(d, t, y) for b in batches for d, t, y in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("toxic").to_pylist(), strict=True)]
+        rows.sort(key=lambda r: r[:2])
+        net = train([t for _, t, _ in rows], [y for _, _, y in rows])
+        told = pickle.dumps((net.words, net.p))
+        parts = [told[i : i + ROW_BYTES] for i in range(0, len(told), ROW_BYTES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["place", "part"])
+
+    parts = sample.coalesce(1).mapInArrow(run, "place int, part binary").collect()
+    if not parts:  # Spark runs no task over a table that it knows to be empty
+        return train([], [])
+    net = Network.__new__(Network)
+    net.words, net.p = pickle.loads(b"".join(bytes(r.part) for r in sorted(parts, key=lambda r: r.place)))
+    return net
 
 
 def _scorer(name: str, shared) -> Scorer:
