@@ -24,16 +24,18 @@ def title(page: Column) -> Column:
 
 
 def status_table(page: Column) -> Column:
-    """The table under the Image Status heading; null without one."""
-    return blank_to_null(
-        F.regexp_extract(page, r'(?s)<h4>Image Status</h4>.*?(<table class="detail_box_table">.*?</table>)', 1)
-    )
+    """What the table under the Image Status heading holds; null without one."""
+    after = page
+    for mark in ("<h4>Image Status</h4>", '<table class="detail_box_table">'):
+        at = F.instr(after, mark)
+        after = F.when(at > 0, F.substr(after, at + len(mark)))
+    return F.when(F.instr(after, "</table>") > 0, F.substring_index(after, "</table>", 1))
 
 
 def status_count(page: Column, field: str) -> Column:
     """The number in a status row's link, thousands commas dropped; null if missing."""
-    mark = r"(?<![A-Za-z])" + STATUS_ROWS[field]
-    number = F.regexp_extract(status_table(page), rf"(?s){mark}(?:(?!</tr>).)*?<a[^>]*>\s*([\d,]+)\s*</a>", 1)
+    row = F.regexp_extract(status_table(page), rf"(?s)(?<![A-Za-z]){STATUS_ROWS[field]}(.*?)(?:</tr>|$)", 1)
+    number = F.regexp_extract(row, r"<a[^>]*>\s*([\d,]+)\s*</a>", 1)
     return F.replace(number, F.lit(","), F.lit("")).try_cast("int")
 
 

@@ -113,9 +113,11 @@ def levels(closure: DataFrame) -> DataFrame:
 
 def nearest(closure: DataFrame, targets: DataFrame) -> DataFrame:
     """The nearest ancestor-or-self of each label that is a target; null without one."""
-    hit = closure.where("not cycle").join(targets.select(F.col("target").alias("ancestor")).distinct(), "ancestor", "left_semi")
-    found = hit.groupBy("label").agg(F.min_by("ancestor", "depth").alias("ancestor"))
-    return closure.select("label").distinct().join(found, "label", "left")
+    names = targets.select(F.col("target").alias("ancestor"), F.lit(True).alias("_target")).distinct()
+    # one pass over the walk, which is recursive and dear
+    marked = closure.join(names, "ancestor", "left")
+    depth = F.when(F.col("_target") & ~F.col("cycle"), F.col("depth"))
+    return marked.groupBy("label").agg(F.min_by(F.when(depth.isNotNull(), F.col("ancestor")), depth).alias("ancestor"))
 
 
 #: A walk of more steps than this raises.
