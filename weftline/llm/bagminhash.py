@@ -168,6 +168,8 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 #: Texts that are held against one text in one run of rows.
 RUN = 256
+#: Shingles that a task remembers of the texts that it has met.
+REMEMBERED = 1 << 21
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -195,11 +197,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
     rows = rows.repartition("lead", "run").sortWithinPartitions("lead", "run", "place").select("lead", "key", "place", "text")
 
     def run(batches):
-        head = None
+        head, known, size = None, {}, 0
         for batch in slices(batches):
             keep = []
-            for place, text in zip(batch.column("place").to_pylist(), utf8(batch.column("text")), strict=True):
-                bag = np.unique(shingles(text), return_counts=True)
+            for i, (place, key) in enumerate(zip(batch.column("place").to_pylist(), batch.column("key").to_pylist(), strict=True)):
+                bag = known.get(key)
+                if bag is None:
+                    bag = np.unique(shingles(batch.column("text")[i].as_py().encode()), return_counts=True)
+                    size += len(bag[0])
+                    if size > REMEMBERED:
+                        known, size = {}, len(bag[0])
+                    known[key] = bag
                 if place == 0:
                     head = bag
                 keep.append(place == 1 and overlap(head, bag) >= similarity)

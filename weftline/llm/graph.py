@@ -148,12 +148,15 @@ def link_buckets(
         return found
     if traits is not None:
         rows = rows.join(stored(traits(rows.select("id").distinct()), "traits"), "id")
+    # a pair comes from the least of the buckets that it shares, and so once
+    rows = rows.join(rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets")), "id")
     columns = [c for c in rows.columns if c not in ("bucket", "id", "n")]
     one, other = (rows.select(F.col("bucket").alias(b), *[F.col(c).alias(f"{x}_{c}") for c in ("id", *columns)]) for b, x in (("bucket", "a"), ("bucket_", "b")))
     on = (F.col("bucket") == F.col("bucket_")) & (F.col("a_component") != F.col("b_component")) & (F.col("a_id") < F.col("b_id")) & possible()
     if bounded is not None:
         on = on & bounded()
-    pairs = one.join(other, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    on = on & (F.array_min(F.array_intersect("a_buckets", "b_buckets")) == F.col("bucket"))
+    pairs = one.join(other, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "cross")
     links = stored(verify(pairs), "links") if pairs.limit(1).count() else pairs
     return _relabelled(found, links) if links.limit(1).count() else found
