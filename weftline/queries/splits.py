@@ -43,10 +43,10 @@ def split_shared_sources(spark, sf_dir):
     return S.shared_sources(rows, "source_id", "split")
 
 
-@query("""SELECT l_partkey, count(DISTINCT l_suppkey % 5) AS n_sources FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey % 5) < 3""")
+@query("""SELECT l_orderkey, count(DISTINCT l_suppkey % 5) AS n_sources FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey % 5) < 3""")
 def split_feasibility(spark, sf_dir):
-    rows = Views(spark, sf_dir).lineitem.select("l_partkey", (F.col("l_suppkey") % 5).alias("src"))
-    return S.rare_labels(rows, "l_partkey", "src")
+    rows = Views(spark, sf_dir).lineitem.select("l_orderkey", (F.col("l_suppkey") % 5).alias("src"))
+    return S.rare_labels(rows, "l_orderkey", "src")
 
 
 @query(f"WITH {ANN} SELECT image_id, min({SPLIT}) AS split, count(*) AS n FROM ann GROUP BY 1")
