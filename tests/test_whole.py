@@ -50,3 +50,21 @@ def test_chains_are_followed_to_their_end(spark):
     assert got == {f"a{i}": "a25" for i in range(25)} | dict.fromkeys(["x", "y", "o", "s", "n"])
     with pytest.raises(Exception, match="RECURSION_LEVEL"):
         registry.follow_chain(df, "goal", depth=5).collect()
+
+
+@pytest.fixture
+def few_recursive_rows(spark):
+    """A recursive query would stop at this limit of rows; walks are joins and have none."""
+    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    yield
+    spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+
+
+def test_chains_of_many_rows(spark, few_recursive_rows):
+    n = 80
+    pairs = [(f"a{i}", "d", f"a{i + 1}", "goal" if i == n - 1 else "d") for i in range(n)] + [(f"b{i}", "d", f"b{(i + 1) % 3}", "d") for i in range(3)]
+    pairs += [("b0", "d", "a70", "d"), ("f", "d", "f1", "goal"), ("f", "d", "a3", "d"), ("a5", "d", "a6", "d")]
+    df = spark.createDataFrame(pairs, "label string, dataset string, target string, target_dataset string")
+    got = {r.label: r.reached for r in registry.follow_chain(df, "goal").collect()}
+    assert got == {f"a{i}": f"a{n}" for i in range(n)} | dict.fromkeys(["b0", "b1", "b2"], f"a{n}") | {"f": "f1"}

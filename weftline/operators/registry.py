@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.scratch import drop_stored, stored, temporary
+
 DEPTH = 100
 
 
@@ -127,26 +129,39 @@ STEPS = 1_000_000
 def follow_chain(pairs: DataFrame, goal: str, depth: int = STEPS) -> DataFrame:
     """Follow (label, dataset) -> (target, target_dataset) until the goal dataset.
 
-    One row per starting pair: the label reached in ``goal``, or null where the
-    chain ends elsewhere or runs in a circle. A walk stops at the goal, at a
-    pair that leads nowhere, or at one that it has met; one of more than
-    ``depth`` steps raises, as the recursion stops there.
+    One row per starting pair: the label reached in ``goal`` (the greatest of
+    several), or null where the chain ends elsewhere or runs in a circle. A walk
+    stops at the goal or at a pair that leads nowhere; each round doubles the
+    steps of all open walks, so that a chain takes as many rounds as its length
+    has digits, and a walk still open after as many steps as there are pairs runs
+    in a circle. An end that takes more than ``depth`` steps raises.
     """
-    walked = pairs.sparkSession.sql(
-        """
-        WITH RECURSIVE w(label, dataset, at, at_dataset, seen, cycle) MAX RECURSION LEVEL {depth} AS (
-            SELECT label, dataset, target, target_dataset, array(struct(target AS l, target_dataset AS d)), false FROM {pairs}
-            UNION ALL
-            SELECT w.label, w.dataset, c.target, c.target_dataset, array_append(w.seen, struct(c.target AS l, c.target_dataset AS d)),
-                array_contains(w.seen, struct(c.target AS l, c.target_dataset AS d))
-            FROM w JOIN {pairs} c ON w.at = c.label AND w.at_dataset = c.dataset
-            WHERE w.at_dataset <> :goal AND NOT w.cycle)
-        SELECT label, dataset, at, at_dataset FROM w""",
-        pairs=pairs.select("label", "dataset", "target", "target_dataset"),
-        args={"goal": goal},
-        depth=depth,
-    )
-    return walked.groupBy("label", "dataset").agg(F.max(F.when(F.col("at_dataset") == goal, F.col("at"))).alias("reached"))
+    start = pairs.select("label", "dataset", F.col("target").alias("at"), F.col("target_dataset").alias("at_dataset")).distinct()
+    goes_on = F.coalesce(F.col("at_dataset") != goal, F.lit(False))
+    with temporary(pairs.sparkSession) as keep:
+        rows = stored(start.withColumns({"steps": F.lit(1).cast("bigint"), "open": goes_on}), "chain")
+        most, reach = rows.count(), 1
+        while reach <= most and rows.where("open").limit(1).count():
+            onward = rows.select(
+                F.col("label").alias("at"), F.col("dataset").alias("at_dataset"), F.col("at").alias("to"), F.col("at_dataset").alias("to_dataset"),
+                F.col("steps").alias("more"), F.col("open").alias("to_open"),
+            )
+            moved = rows.where("open").join(onward, ["at", "at_dataset"], "left")
+            went = F.col("more").isNotNull()
+            moved = moved.select(
+                "label", "dataset", F.when(went, F.col("to")).otherwise(F.col("at")).alias("at"),
+                F.when(went, F.col("to_dataset")).otherwise(F.col("at_dataset")).alias("at_dataset"),
+                (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("to_open", F.lit(False)).alias("open"),
+            )
+            walks = rows.where("not open").unionByName(moved).groupBy("label", "dataset", "at", "at_dataset", "open")
+            new = stored(walks.agg(F.min("steps").alias("steps")).select(rows.columns), "chain")
+            drop_stored(rows)
+            rows, reach = new, 2 * reach
+        keep(rows)
+        longest = rows.where("not open").agg(F.max("steps")).first()[0]
+    if (longest or 0) > depth:
+        raise RuntimeError(f"RECURSION_LEVEL: a walk of {longest} steps; {depth} are allowed")
+    return rows.groupBy("label", "dataset").agg(F.max(F.when(F.col("at_dataset") == goal, F.col("at"))).alias("reached"))
 
 
 def final_map(labels: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
