@@ -68,3 +68,13 @@ def test_chains_of_many_rows(spark, few_recursive_rows):
     df = spark.createDataFrame(pairs, "label string, dataset string, target string, target_dataset string")
     got = {r.label: r.reached for r in registry.follow_chain(df, "goal").collect()}
     assert got == {f"a{i}": f"a{n}" for i in range(n)} | dict.fromkeys(["b0", "b1", "b2"], f"a{n}") | {"f": "f1"}
+
+
+def test_hierarchies_of_many_rows(spark, few_recursive_rows):
+    edges = [(f"C{i}", "N") for i in range(200)] + [("n", "R"), ("r", None), ("x", "y"), ("y", "x"), ("z", "x"), ("c7", "n")]
+    up = registry.ancestors(spark.createDataFrame(edges, "name string, parent string"))
+    level = {r.label: r.level for r in registry.levels(up).collect()}
+    assert level == {f"c{i}": 2 for i in range(200)} | {"n": 1, "r": 0, "x": None, "y": None, "z": None}
+    assert up.count() == 3 * 200 + 2 + 1 + 3 + 3 + 4
+    with pytest.raises(RuntimeError, match="RECURSION_LEVEL"):
+        registry.ancestors(spark.createDataFrame(edges, "name string, parent string"), depth=1)

@@ -89,22 +89,29 @@ def source_to_target(
 def ancestors(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """label, ancestor, depth and cycle for every label of (name, parent), itself at depth 0.
 
-    Names are lower case. A walk stops at a root, at a parent that is no name
-    (which still counts), or at a name that it has met, which marks a cycle.
+    Names are lower case, and edges that repeat count once. A walk stops at a root, at a parent that is no name
+    (which still counts), or at a name that it has met, which marks a cycle. Each level is a join whose result goes
+    to the scratch folder, so there is no limit on rows; a walk of more than ``depth`` levels raises.
     """
-    named = edges.select(F.lower("name").alias("name"), F.lower("parent").alias("parent"))
-    return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE up(label, ancestor, depth, seen, cycle) MAX RECURSION LEVEL {depth} AS (
-            SELECT name, name, 0, array(name), false FROM {edges}
-            UNION ALL
-            SELECT u.label, e.parent, u.depth + 1, array_append(u.seen, e.parent), array_contains(u.seen, e.parent)
-            FROM up u JOIN {edges} e ON u.ancestor = e.name
-            WHERE e.parent IS NOT NULL AND NOT u.cycle)
-        SELECT label, ancestor, depth, cycle FROM up""",
-        edges=named,
-        depth=depth,
-    )
+    named = edges.select(F.lower("name").alias("name"), F.lower("parent").alias("parent")).distinct()
+    with temporary(edges.sparkSession) as keep:
+        named = keep(stored(named, "hierarchy"))
+        above = named.where("parent is not null")
+        last = named.select(F.col("name").alias("label"), F.col("name").alias("ancestor"), F.lit(0).alias("depth"), F.array("name").alias("seen"), F.lit(False).alias("cycle"))
+        closure = last.drop("seen")
+        for level in range(depth + 1):
+            # the names that walks have reached are few, where many labels are below the same
+            reached = last.where("not cycle").select(F.col("ancestor").alias("name")).distinct()
+            step = last.where("not cycle").join(above.join(reached, "name", "left_semi"), F.col("ancestor") == F.col("name"))
+            step = step.select(
+                "label", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"),
+                F.array_append("seen", F.col("parent")).alias("seen"), F.array_contains("seen", F.col("parent")).alias("cycle"),
+            )
+            last = stored(step, "ancestors")
+            if not last.limit(1).count():
+                return closure
+            closure = closure.unionByName(keep(last).drop("seen"))
+    raise RuntimeError(f"RECURSION_LEVEL: a walk has more than {depth} levels")
 
 
 def levels(closure: DataFrame) -> DataFrame:
