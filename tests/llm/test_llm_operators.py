@@ -770,3 +770,10 @@ def test_pipeline_stages_on_odd_documents(spark, rows):
         else:
             assert out.count() == len(rows)
     assert corpus_pipeline.pack(spark, docs, sf).select("doc_id").distinct().count() == len({d for d, _ in rows})
+
+
+def test_every_block_of_a_long_line_is_a_bucket(spark):
+    words = [f"word{i}" for i in range(300)]
+    df = spark.createDataFrame([("0", " ".join(words))], "id string, norm string").withColumn("id", F.col("id").cast("binary"))
+    hashes = [r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    assert len({(h >> 20) % 32 for h in hashes}) == 32 == linededup.buckets_of(df).count()
