@@ -777,3 +777,12 @@ def test_every_block_of_a_long_line_is_a_bucket(spark):
     df = spark.createDataFrame([("0", " ".join(words))], "id string, norm string").withColumn("id", F.col("id").cast("binary"))
     hashes = [r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
     assert len({(h >> 20) % 32 for h in hashes}) == 32 == linededup.buckets_of(df).count()
+
+
+def test_blocks_of_few_words_are_buckets(spark):
+    lines = [("1", " ".join(f"word{i}" for i in range(12))), ("2", "of the")]
+    df = spark.createDataFrame(lines, "id string, norm string").withColumn("id", F.col("id").cast("binary"))
+    found = Counter(bytes(r.id) for r in linededup.buckets_of(df).select("id", "bucket").collect())
+    two = spark.createDataFrame([("of",), ("the",)], "w string").select(F.xxhash64("w").alias("h")).collect()
+    at = {(r.h & (2**64 - 1)) >> 20 & 3 for r in two}
+    assert found[b"1"] == 6 and found[b"2"] == (5 if len(at) == 2 else 3)
