@@ -142,14 +142,16 @@ def _candidates(codes: DataFrame, part: int, tables: int, count: int, radius: in
     on = (F.col("bucket") == F.col("bucket_b")) & (F.col("t") == F.col("t_b")) & (F.col("a") < F.col("b")) & (distance <= radius)
     for e in earlier:
         on = on & ~e
-    return probe.join(index, on).select("a", "b")
+    # codes are small in files and become a row for each table and bit: by their size Spark would broadcast these rows from the driver
+    return probe.join(index.hint("merge"), on).select("a", "b")
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
     import pyarrow as pa
 
+    # pairs repeat their keys, so that files are a small part of what a broadcast takes
     for c in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("key").alias(c), F.col("v").alias(f"{c}_v"), F.col("within").alias(f"{c}_in")), c)
+        pairs = pairs.join(classes.select(F.col("key").alias(c), F.col("v").alias(f"{c}_v"), F.col("within").alias(f"{c}_in")).hint("merge"), c)
     pairs = pairs.where("a_in = b_in").select("a", "b", "a_v", "b_v")
 
     def run(batches):
@@ -197,7 +199,7 @@ def similar_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
             links = stored(_linked(pairs, classes, width, least), "vector-links")
             sizes = classes.select("key", "n")
             both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            others = both.join(sizes.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
+            others = both.join(sizes.withColumnRenamed("key", "b").hint("merge"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
             named = classes.select("key", "n", "first_id").join(others, "key", "left").join(components(links).withColumnRenamed("id", "key"), "key", "left")
             named = named.withColumn("component", F.coalesce("component", "key"))
             ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
